@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, langid, tokens
+from corpuscope.llm import decontaminate, langid, mixing, tokens
 from corpuscope.llm.common import hex_of, new_path, read
 
 
@@ -21,6 +21,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.scan_tokens(spark, out)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -33,6 +37,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), hex_of(F.col("items")).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op8_language_id, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op8_language_id, op9_decontamination)}
 
 ORACLES: dict[str, str] = {}
