@@ -16,6 +16,8 @@ one id. Null doc_ids come first; repeated doc_ids are ordered by text. An empty
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 import zlib
 from urllib.parse import urlsplit
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import small_batches
 
-#: Words whose ids a worker remembers (about 150 bytes each).
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers (about 250 bytes each), and words or documents encoded at once.
+CACHE_WORDS, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 512, 200
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -56,11 +58,20 @@ def _map(uri: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype)
 
 
+#: Latin letters of one code point each, then ASCII marks without the apostrophe: parts that this kind of tokenizer always cuts apart.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level models write a byte that isn't printable in Latin 1 as a code point from U+0100 on, in order.
+_BYTES = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+_PROBES = ("the", "Words", "straße.", "Él,", "garçon!?", "x##", "ÿÀ;", "counterrevolutionaries-")
+
+
 class Encoder:
     """Encodes whole texts; remembers the ids of words.
 
-    A text is cut at ASCII spaces, tabs and line ends. With a tokenizer that drops white space and
-    never joins characters across it, as the word-level one here, the parts' ids are the text's ids.
+    A text is cut at ASCII white space. With a tokenizer that drops white space and never joins
+    characters across it, as the word-level one here, the parts' ids are the text's ids. Words of Latin
+    letters with marks behind them go to the tokenizer's model directly, if probes show that this
+    gives the same ids; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
@@ -69,19 +80,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end, self.dtype, self.cache = np.array([end_id], dtype).tobytes(), dtype, {}
+        self.model = self.tokenizer.model
+        self.direct = all(self._direct(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
+
+    def _direct(self, parts: re.Match) -> list[int]:
+        return [t.id for p in parts.groups() if p for t in self.model.tokenize(p.lower().encode().decode("latin-1").translate(_BYTES))]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        slow = []
+        for word in fresh:
+            text = word.decode("utf-8", "replace")
+            if self.direct and (parts := _PLAIN.fullmatch(text)):
+                self.cache[word] = np.array(self._direct(parts), self.dtype).tobytes()
+            else:
+                slow.append((word, text))
+        for at in range(0, len(slow), WORDS_AT_ONCE):
+            some = slow[at : at + WORDS_AT_ONCE]
+            for (word, _), code in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                self.cache[word] = np.array(code.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]  # bytes part at ASCII white space only
-        fresh = list({w for words in split for w in words}.difference(self.cache))
+        words = {w for part in split for w in part}
+        fresh = words.difference(self.cache)
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache = {}
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(code.ids, self.dtype).tobytes()
+            self.cache, fresh = {}, words
+        self._learn(list(fresh))
         ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) + self.end for words in split]
+        return [b"".join(map(ids, part)) + self.end for part in split]
+
+
+@functools.lru_cache(1)
+def _encoder(path: str, end_id: int, dtype: str) -> Encoder:
+    """One for a worker process, which runs many tasks."""
+    return Encoder(path, end_id, dtype)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab: int = 1 << 16, shards: int | None = None) -> DataFrame:
@@ -96,12 +128,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab:
     def write(batches):
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), Encoder(tokenizer, end_id, dtype)
+        shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer, end_id, dtype)
         ids, lengths, doc_ids, nulls = [], [], [], []
         for batch in batches:
-            for data in encode(batch.column(1).to_pylist()):
-                ids.append(data)
-                lengths.append(len(data))
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                for data in encode(batch.column(1)[at : at + DOCS_AT_ONCE].to_pylist()):
+                    ids.append(data)
+                    lengths.append(len(data))
             column = batch.column(0).cast(pa.int64())
             doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))

@@ -16,7 +16,7 @@ def documents(spark, texts, **columns):
 def prose():
     rng = random.Random(7)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(400)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(vocab) for _ in range(n))
+    return lambda n, seed: " ".join(random.Random(seed).choices(vocab, k=n))
 
 
 @pytest.fixture
