@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, langid, mixing, quality, secrets, tokens
+from corpuscope.llm import decontaminate, langid, mixing, neardup, quality, secrets, tokens
 from corpuscope.llm.common import hex_of, new_path, read
 
 
@@ -50,6 +50,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), hex_of(F.col("items")).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op6_quality_rules, op8_language_id, op9_decontamination)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op6_quality_rules, op8_language_id, op9_decontamination, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ import functools
 import re
 import uuid
 import zlib
+from array import array
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -79,25 +80,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end, self.dtype, self.cache = np.array([end_id], dtype).tobytes(), dtype, {}
+        self.code, self.cache = np.dtype(dtype).char, {}
+        self.end = array(self.code, [end_id]).tobytes()
         self.model = self.tokenizer.model
         self.direct = all(self._direct(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
 
     def _direct(self, parts: re.Match) -> list[int]:
-        return [t.id for p in parts.groups() if p for t in self.model.tokenize(p.lower().encode().decode("latin-1").translate(_BYTES))]
+        head, marks = parts.groups()
+        head = head.lower()
+        if not head.isascii():
+            head = head.encode().decode("latin-1").translate(_BYTES)
+        found = self.model.tokenize(head)
+        if marks:
+            found += self.model.tokenize(marks)
+        return [t.id for t in found]
 
     def _learn(self, fresh: list[bytes]) -> None:
         slow = []
         for word in fresh:
             text = word.decode("utf-8", "replace")
             if self.direct and (parts := _PLAIN.fullmatch(text)):
-                self.cache[word] = np.array(self._direct(parts), self.dtype).tobytes()
+                self.cache[word] = array(self.code, self._direct(parts)).tobytes()
             else:
                 slow.append((word, text))
         for at in range(0, len(slow), WORDS_AT_ONCE):
             some = slow[at : at + WORDS_AT_ONCE]
             for (word, _), code in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(code.ids, self.dtype).tobytes()
+                self.cache[word] = array(self.code, code.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]  # bytes part at ASCII white space only
