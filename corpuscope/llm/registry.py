@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, langid, mixing, neardup, quality, secrets, tokens
+from corpuscope.llm import decontaminate, langid, mixing, neardup, pii, quality, secrets, tokens
 from corpuscope.llm.common import hex_of, new_path, read
 
 
@@ -38,6 +38,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -54,6 +64,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op6_quality_rules, op8_language_id, op9_decontamination, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op6_quality_rules, op7_personal_data, op8_language_id, op9_decontamination, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
