@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, langid, mixing, neardup, pii, quality, secrets, substrings, tokens
+from corpuscope.llm import decontaminate, langid, lm, mixing, neardup, pii, quality, secrets, substrings, tokens
 from corpuscope.llm.common import hex_of, new_path, read
 
 
@@ -39,6 +39,10 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,6 +74,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op4_repeated_strings, op6_quality_rules, op7_personal_data, op8_language_id, op9_decontamination, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op4_repeated_strings, op5_lm_scores, op6_quality_rules, op7_personal_data, op8_language_id, op9_decontamination, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {}
