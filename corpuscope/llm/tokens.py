@@ -17,6 +17,7 @@ one id. Null doc_ids come first; repeated doc_ids are ordered by text. An empty
 from __future__ import annotations
 
 import functools
+import os
 import re
 import uuid
 import zlib
@@ -76,6 +77,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs tasks side by side; threads of one's own would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
