@@ -130,7 +130,7 @@ def simple_query(attributes: Name, value: Name, strict: bool = True) -> Column:
 
 
 def clean_version(version: Name) -> Column:
-    return F.ltrim(F.lit("v"), F.trim(F.lit("'"), _c(version)))
+    return F.ltrim(F.trim(_c(version), F.lit("'")), F.lit("v"))
 
 
 def short_error(message: Name) -> Column:
