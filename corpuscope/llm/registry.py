@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import decontaminate, langid, lm, mixing, neardup, pii, quality, secrets, substrings, tokens
+from corpuscope.llm import decontaminate, langid, lm, mixing, neardup, oracles, pii, quality, secrets, substrings, tokens
 from corpuscope.llm.common import hex_of, new_path, read
 
 
@@ -40,7 +40,8 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents"))
+    scored = lm.score(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean", 6).alias("mean"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_secret_scan, op4_repeated_strings, op5_lm_scores, op6_quality_rules, op7_personal_data, op8_language_id, op9_decontamination, op10_near_duplicates)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.SQL
