@@ -31,7 +31,13 @@ def sized(docs: DataFrame, key: str | None = None) -> DataFrame:
     """row_key (the column key if given), doc_id, source, size, order (a hash that shuffles): written once, so that keys stay."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     row_key = F.col(key) if key else F.monotonically_increasing_id()
-    return materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"), row_key.alias("row_key")), "mixing-sized")
+    return materialize(docs.select("doc_id", "source", size.alias("size"), _shuffled().alias("order"), row_key.alias("row_key")), "mixing-sized")
+
+
+def _shuffled() -> F.Column:
+    """A document's place in its source's shuffled stream: a hash of all that tells it from others."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat_ws(":", *parts))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: float = REPEATS, block: int = BLOCK) -> DataFrame:
@@ -80,7 +86,8 @@ def schedule(sources: DataFrame, repeats: int = REPEATS) -> DataFrame:
 def pieces(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """row_key, place, block, word_from, word_to: the part of each document that lies in each block."""
     n_chunks = max(1, -(-sizes.count() // CHUNK_DOCS))
-    dealt = sizes.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("order"), F.lit(n_chunks)))
+    lead = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
+    dealt = sizes.where("size > 0").withColumn("chunk", F.floor(lead * n_chunks / F.lit(float(1 << 32))))  # ascending as the hash
     sums = dealt.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select(F.col("source").alias("of"), F.col("chunk").alias("in"), F.coalesce(before, F.lit(0)).alias("base"))

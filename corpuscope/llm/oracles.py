@@ -48,4 +48,36 @@ edges AS MATERIALIZED (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
 reached(r, o) AS (SELECT r, r FROM d UNION SELECT reached.r, edges.b FROM reached JOIN edges ON reached.o = edges.a)
 SELECT x.doc_id, min(y.doc_id) AS class_id, count(*) AS class_size FROM reached JOIN d x ON x.r = reached.r JOIN d y ON y.r = o GROUP BY x.r, x.doc_id"""
 
-SQL = {"op5_lm_scores": LM_SCORES, "op9_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES}
+#: op2: the same schedule and streams, by plain windows.
+SOURCE_MIXING = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || coalesce(text, '')) AS o FROM documents),
+g AS (SELECT source, sum(size)::DOUBLE AS s FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM g),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][place % 3 + 1] AS weight, 2 * s AS most, 1.5::DOUBLE * sum(s) OVER () AS budget FROM p),
+l AS (SELECT *, (budget - sum(most) OVER (ORDER BY most / weight, place) + most) / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT level FROM l WHERE most / weight >= level ORDER BY most / weight, place LIMIT 1),
+t AS (SELECT l.*, least(most, coalesce(f.level * weight, most)) AS target, ceil(s / 128)::BIGINT AS nb FROM l LEFT JOIN f ON true),
+n AS (SELECT *, CASE WHEN s > 0 THEN target * nb / s ELSE 0.0 END AS wanted FROM t),
+e AS (SELECT *, sum(wanted) OVER () AS total, sum(wanted) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS above FROM n),
+b AS (SELECT *, round(total)::BIGINT AS slots, round((above - wanted) / total * 2147483648)::BIGINT AS lo, round(above / total * 2147483648)::BIGINT AS hi FROM e),
+k AS (SELECT slot, (slot % 2147483648 * 1327217885) % 2147483648 AS point FROM (SELECT unnest(range((SELECT coalesce(max(slots), 0) FROM b))) AS slot)),
+ranked AS (SELECT place, nb, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM k JOIN b ON point >= lo AND point < hi),
+times AS (SELECT place, rank % nb AS block, count(*) AS times FROM ranked WHERE rank // nb < 2 GROUP BY ALL),
+placed AS (SELECT d.*, b.place, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size, r ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source WHERE size > 0),
+cut AS (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM placed),
+taken AS (SELECT r, sum(times * (least(start + size, (block + 1) * 128) - greatest(start, block * 128))) AS taken FROM cut JOIN times USING (place, block) GROUP BY r)
+SELECT doc_id, size, s::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN taken USING (r)"""
+
+#: op4: all 200-byte strings, as hexadecimal digits.
+REPEATED_STRINGS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, i, md5(h[2 * i + 1 : 2 * i + 400]) AS k FROM (SELECT r, h, unnest(range(len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+dup AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true)::INT AS new FROM dup),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, run),
+before AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM spans),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(h[2 * last + 1 : 2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1 :] AS h FROM before JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+SQL = {"op4_repeated_strings": REPEATED_STRINGS, "op2_source_mixing": SOURCE_MIXING, "op5_lm_scores": LM_SCORES, "op9_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES}
