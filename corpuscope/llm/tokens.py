@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import small_batches
 
-#: Words whose ids a worker remembers (about 250 bytes each), and words or documents encoded at once.
-CACHE_WORDS, WORDS_AT_ONCE, DOCS_AT_ONCE = 200_000, 512, 200
+#: Words whose ids a worker remembers (about 250 bytes each): so many new ones, and so many of those before.
+CACHE_WORDS = 250_000
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -67,7 +67,7 @@ _BYTES = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1),
 _PROBES = ("the", "Words", "straße.", "Él,", "garçon!?", "x##", "ÿÀ;", "counterrevolutionaries-")
 
 
-class Encoder:
+class Encoder(dict):
     """Encodes whole texts; remembers the ids of words.
 
     A text is cut at ASCII white space. With a tokenizer that drops white space and never joins
@@ -82,7 +82,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.code, self.cache = np.dtype(dtype).char, {}
+        super().__init__()
+        self.before: dict[bytes, bytes] = {}
+        self.code = np.dtype(dtype).char
         self.end = array(self.code, [end_id]).tobytes()
         self.model = self.tokenizer.model
         self.direct = all(self._direct(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
@@ -97,28 +99,24 @@ class Encoder:
             found += self.model.tokenize(marks)
         return [t.id for t in found]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        slow = []
-        for word in fresh:
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
             text = word.decode("utf-8", "replace")
-            if self.direct and (parts := _PLAIN.fullmatch(text)):
-                self.cache[word] = array(self.code, self._direct(parts)).tobytes()
-            else:
-                slow.append((word, text))
-        for at in range(0, len(slow), WORDS_AT_ONCE):
-            some = slow[at : at + WORDS_AT_ONCE]
-            for (word, _), code in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                self.cache[word] = array(self.code, code.ids).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]  # bytes part at ASCII white space only
-        words = {w for part in split for w in part}
-        fresh = words.difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache, fresh = {}, words
-        self._learn(list(fresh))
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, part)) + self.end for part in split]
+            parts = _PLAIN.fullmatch(text) if self.direct else None
+            ids = self._direct(parts) if parts else self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = array(self.code, ids).tobytes()
+        self[word] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text and the end id, as bytes."""
+        if not text:
+            return self.end
+        if len(self) > CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split())) + self.end  # bytes part at ASCII white space only
 
 
 @functools.lru_cache(1)
@@ -139,13 +137,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab:
     def write(batches):
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer, end_id, dtype)
+        shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer, end_id, dtype).encode
         ids, lengths, doc_ids, nulls = [], [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                for data in encode(batch.column(1)[at : at + DOCS_AT_ONCE].to_pylist()):
-                    ids.append(data)
-                    lengths.append(len(data))
+            for text in batch.column(1):
+                data = encode(text.as_py())
+                ids.append(data)
+                lengths.append(len(data))
             column = batch.column(0).cast(pa.int64())
             doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))
