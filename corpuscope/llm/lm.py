@@ -22,12 +22,12 @@ a row each, and count as documents of their own. Extra columns are passed over.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import materialize, release, small_batches
-from corpuscope.llm.neardup import _MUL, _U64, _arrow, _groups, _mix, word_hashes
+from corpuscope.llm.neardup import _MUL, _U64, _arrow, _groups, _long, _mix, _short, word_hashes
 
 BACKOFF = 0.4
 #: Documents and words in a block, at most (but one document may be longer).
@@ -36,10 +36,29 @@ BLOCK_DOCS, BLOCK_WORDS = 2048, 1 << 20
 _BEGIN = _U64(0x1D8AF066F3A1B2C5)
 
 
+def _pack(values: np.ndarray, dtype: str) -> bytes:
+    """Small numbers, compressed: their lowest bytes first, then the next ones, and so on."""
+    planes = np.ascontiguousarray(values.astype(dtype)).view(np.uint8).reshape(-1, np.dtype(dtype).itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpack(data: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> _U64(32)) * _U64(n) >> _U64(32)).astype(np.int64)
+
+
+def _pair_hash(words: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(words[before] * _MUL[0] + words[word] * _MUL[1] + _MUL[2])
+
+
 class _Block:
-    """The words and distinct (document, bigram) entries of a block, the latter ordered by bucket."""
+    """A block's distinct words (ascending hashes) with counts, and its distinct entries (document, word before, word) with counts, in this order. Words are given by their place."""
 
-    def __init__(self, docs: list[np.ndarray], n_buckets: int):
+    def __init__(self, docs: list[np.ndarray]):
         full = [np.concatenate([[_BEGIN], d]) if len(d) else d for d in docs]
         doc = np.repeat(np.arange(len(docs)), [len(d) for d in full])
         self.words, place, self.often = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
@@ -50,19 +69,9 @@ class _Block:
         low = _U64((1 << bits) - 1)
         self.doc = (code >> _U64(2 * bits)).astype(np.int64)
         self.before, self.word = ((code >> _U64(bits)) & low).astype(np.int64), (code & low).astype(np.int64)
-        self.hash = _mix(self.words[self.before] * _MUL[0] + self.words[self.word] * _MUL[1] + _MUL[2])
-        self.bucket = self._bucket(self.hash, n_buckets)
-        order = np.argsort(self.bucket, kind="stable")
-        for name in ("count", "doc", "before", "word", "hash", "bucket"):
-            setattr(self, name, getattr(self, name)[order])
-        self.word_bucket = self._bucket(self.words, n_buckets)  # ascending, as the words are
-
-    @staticmethod
-    def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-        return ((h >> _U64(32)) * _U64(n) >> _U64(32)).astype(np.int64)
 
 
-def _blocks(n_buckets: int, emit):
+def _blocks(emit):
     """Cuts a partition's (doc_id, text) rows into blocks; emit(number, doc_ids, hashes of words by document, block) makes a batch."""
 
     def run(batches):
@@ -75,27 +84,30 @@ def _blocks(n_buckets: int, emit):
                 docs.append(word_hashes(text.as_py()))
                 held += len(docs[-1])
                 if held >= BLOCK_WORDS or len(docs) >= BLOCK_DOCS:
-                    yield emit(number, ids, docs, _Block(docs, n_buckets))
+                    yield emit(number, ids, docs, _Block(docs))
                     number, ids, docs, held = number + 1, [], [], 0
         if docs:
-            yield emit(number, ids, docs, _Block(docs, n_buckets))
+            yield emit(number, ids, docs, _Block(docs))
 
     return run
 
 
 _OUT = "bucket int, block long, pairs binary, pair_counts binary, words binary, word_counts binary"
 _BACK = "block long, bucket int, n_words long, pair_counts binary, word_counts binary"
-_SELF = "docs binary, nulls binary, sizes binary, doc binary, before binary, word binary, count binary, own binary"
+_SELF = "docs binary, nulls binary, sizes binary, words binary, entries binary, before binary, word binary, count binary"
 
 
 def _explode(n_buckets: int):
     def emit(number, ids, docs, b: _Block):
-        edges = np.searchsorted(b.bucket, np.arange(n_buckets + 1))
-        word_edges = np.searchsorted(b.word_bucket, np.arange(n_buckets + 1))
+        h = _pair_hash(b.words, b.before, b.word)
+        bucket = _bucket(h, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        word_edges = np.searchsorted(_bucket(b.words, n_buckets), np.arange(n_buckets + 1))
         rows = []
         for k in range(n_buckets):
-            p, w = slice(edges[k], edges[k + 1]), slice(word_edges[k], word_edges[k + 1])
-            rows.append((k, number, b.hash[p].tobytes(), b.count[p].astype("<u4").tobytes(), b.words[w].tobytes(), b.often[w].astype("<u4").tobytes()))
+            p, w = order[edges[k] : edges[k + 1]], slice(word_edges[k], word_edges[k + 1])
+            rows.append((k, number, _short(h[p]), _pack(b.count[p], "<u4"), b.words[w].tobytes(), _pack(b.often[w], "<u4")))
         return _arrow(rows, _OUT)
 
     return emit
@@ -109,34 +121,33 @@ def _sums(hashes: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
 def _count(batches):
     """For each hash partition: the count table of its n-grams, joined back to each block's; a bigram's own document is taken out."""
     for rows in _groups(batches, "bucket"):
-        pairs, own = [np.frombuffer(r["pairs"], _U64) for r in rows], [np.frombuffer(r["pair_counts"], "<u4") for r in rows]
-        words, often = [np.frombuffer(r["words"], _U64) for r in rows], [np.frombuffer(r["word_counts"], "<u4") for r in rows]
+        pairs, own = [_long(r["pairs"], r["bucket"]) for r in rows], [_unpack(r["pair_counts"], "<u4") for r in rows]
+        words, often = [np.frombuffer(r["words"], _U64) for r in rows], [_unpack(r["word_counts"], "<u4") for r in rows]
         pair_sums = (_sums(pairs, own) - np.concatenate(own)) if sum(map(len, pairs)) else np.empty(0)
         word_sums = _sums(words, often) if sum(map(len, words)) else np.empty(0)
         p = w = 0
         for r, a, b, o in zip(rows, pairs, words, often, strict=True):
             n = int(o[b != _BEGIN].sum())
-            yield _arrow([(r["block"], r["bucket"], n, pair_sums[p : p + len(a)].astype("<u4").tobytes(), word_sums[w : w + len(b)].astype("<u8").tobytes())], _BACK)
+            yield _arrow([(r["block"], r["bucket"], n, _pack(pair_sums[p : p + len(a)], "<u8"), _pack(word_sums[w : w + len(b)], "<u8"))], _BACK)
             p, w = p + len(a), w + len(b)
 
 
 def _structure(number, ids, docs, b: _Block):
-    n = len(b.words)
-    key, inverse = np.unique(b.doc * n + b.word, return_inverse=True)
-    own_word = np.bincount(inverse, b.count)
-    lookup = lambda at: np.where((i := np.searchsorted(key, b.doc * n + at)) < len(key), np.where(key[np.minimum(i, len(key) - 1)] == b.doc * n + at, own_word[np.minimum(i, len(key) - 1)], 1), 1)  # noqa: E731  the begin mark occurs once
-    own = np.stack([lookup(b.before), lookup(b.word)]) if len(key) else np.empty((2, 0))
+    entries = np.bincount(b.doc, minlength=len(docs))
+    step = np.diff(b.before, prepend=0)
+    first = np.cumsum(entries) - entries
+    step[first[entries > 0]] = b.before[first[entries > 0]]
     ids_ = np.array([i or 0 for i in ids], "<i8").tobytes()
     nulls = np.array([i is None for i in ids], "u1").tobytes()
-    sizes = np.array([len(d) for d in docs], "<u4").tobytes()
-    row = (number, -1, 0, None, None, ids_, nulls, sizes, b.doc.astype("<u2").tobytes(), b.before.astype("<u4").tobytes(), b.word.astype("<u4").tobytes(), b.count.astype("<u4").tobytes(), own.astype("<u4").tobytes())
+    sizes = np.array([len(d) for d in docs])
+    row = (number, -1, 0, None, None, ids_, nulls, _pack(sizes, "<u4"), b.words.tobytes(), _pack(entries, "<u4"), _pack(step, "<u4"), _pack(b.word, "<u4"), _pack(b.count, "<u4"))
     return _arrow([row], f"{_BACK}, {_SELF}")
 
 
 _SCORE = "doc_id long, n_words long, score double"
 
 
-def _score(total: int, backoff: float):
+def _score(total: int, backoff: float, n_buckets: int):
     """For each block: the counts of its n-grams, summed up by document."""
 
     def run(batches):
@@ -145,14 +156,22 @@ def _score(total: int, backoff: float):
             own, parts = rows[0], rows[1:]
             if own["bucket"] != -1 or own["docs"] is None:
                 raise RuntimeError("a block's counts came back without its documents")
-            pairs = np.concatenate([np.frombuffer(r["pair_counts"], "<u4") for r in parts]).astype(float)
-            words = np.concatenate([np.frombuffer(r["word_counts"], "<u8") for r in parts]).astype(float)
-            doc, before, word, count = (np.frombuffer(own[k], d).astype(np.int64) for k, d in (("doc", "<u2"), ("before", "<u4"), ("word", "<u4"), ("count", "<u4")))
-            mine = np.frombuffer(own["own"], "<u4").reshape(2, -1).astype(float)
-            sizes = np.frombuffer(own["sizes"], "<u4").astype(np.int64)
-            if len(pairs) != len(doc):
+            sizes, entries = _unpack(own["sizes"], "<u4").astype(np.int64), _unpack(own["entries"], "<u4").astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), entries)
+            words = np.frombuffer(own["words"], _U64)
+            word, count, step = (_unpack(own[k], "<u4").astype(np.int64) for k in ("word", "count", "before"))
+            run_up = np.cumsum(step)
+            first = np.cumsum(entries) - entries
+            before = run_up - np.repeat(np.where(first > 0, run_up[np.maximum(first, 1) - 1], 0) if len(step) else first, entries)
+            order = np.argsort(_bucket(_pair_hash(words, before, word), n_buckets), kind="stable")
+            back = np.concatenate([_unpack(r["pair_counts"], "<u8") for r in parts])
+            counts = np.concatenate([_unpack(r["word_counts"], "<u8") for r in parts]).astype(float)
+            if len(back) != len(order) or len(counts) != len(words):
                 raise RuntimeError("a block's counts don't match its n-grams")
-            context, single = words[before] - mine[0], words[word] - mine[1]
+            pairs = np.empty(len(order))
+            pairs[order] = back
+            context = counts[before] - _own(doc, before, word, count, len(words))
+            single = counts[word] - _own(doc, word, word, count, len(words))
             rest = np.maximum(total - sizes[doc], 1)
             seen = (pairs > 0) & (context > 0)
             chance = np.where(seen, pairs / np.maximum(context, 1), backoff * np.maximum(single, 0.5) / rest)
@@ -163,17 +182,25 @@ def _score(total: int, backoff: float):
     return run
 
 
+def _own(doc: np.ndarray, wanted: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """How often each entry's wanted word occurs in its own document; the begin mark, which follows no word, once."""
+    key, inverse = np.unique(doc * n + word, return_inverse=True)
+    often = np.bincount(inverse, count)
+    at = np.minimum(np.searchsorted(key, doc * n + wanted), max(0, len(key) - 1))
+    return np.where(key[at] == doc * n + wanted, often[at], 1) if len(key) else np.empty(0)
+
+
 def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of ln S), mean (score for each word): a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    exploded = docs.mapInArrow(_blocks(parts, _explode(parts)), _OUT)
+    exploded = docs.mapInArrow(_blocks(_explode(parts)), _OUT)
     counts = materialize(exploded.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _BACK), "lm-counts")
     release(spark)
     total = counts.agg(F.sum("n_words")).first()[0] or 0
-    structure = docs.mapInArrow(_blocks(parts, _structure), f"{_BACK}, {_SELF}")
+    structure = docs.mapInArrow(_blocks(_structure), f"{_BACK}, {_SELF}")
     both = structure.unionByName(counts, allowMissingColumns=True)  # first, so that blocks are numbered by the same partitions as before
-    scored = both.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_score(total, backoff), _SCORE)
+    scored = both.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_score(total, backoff, parts), _SCORE)
     return scored.withColumn("mean", F.try_divide("score", "n_words"))
