@@ -15,6 +15,7 @@ Repeated rows give a row each. Without any finding to learn from, nothing is add
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -132,15 +133,13 @@ def edges(tokens: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]], l
 
 
 def silver(tokens: list, spans: list) -> list[int]:
-    """The label of each token: 0, or 1 + the kind of the first base span that overlaps it."""
-    out, at = [], 0
+    """The label of each token: 0, or 1 + the kind of the first base span that overlaps it. Spans of one kind don't overlap each other."""
+    by_kind = [[s for s in spans if s[1] == k] for k in range(len(KINDS))]
+    starts = [[s[0] for s in own] for own in by_kind]
+    out = []
     for start, end, _, _ in tokens:
-        found = next((k + 1 for a, k, b in spans if a < end and start < b), 0) if len(spans) < 50 else 0
-        if len(spans) >= 50:
-            while at < len(spans) and spans[at][2] <= start and at + 1 < len(spans) and spans[at + 1][0] <= start:
-                at += 1
-            found = next((k + 1 for a, k, b in spans[max(0, at - 4) : at + 5] if a < end and start < b), 0)
-        out.append(found)
+        last = [own[i - 1] for own, s in zip(by_kind, starts, strict=True) if (i := bisect.bisect_left(s, end))]
+        out.append(min((s for s in last if s[2] > start), default=(0, -1, 0))[1] + 1)
     return out
 
 
