@@ -39,8 +39,6 @@ def main(argv: list[str] | None = None) -> int:
         print(VERSION)
         return 0
     spark = _session()
-    from pyspark.sql import functions as F
-
     from corpuscope import models
     from corpuscope.functions.columns import show_evaluation
     from corpuscope.operators import normalize
@@ -75,7 +73,6 @@ def main(argv: list[str] | None = None) -> int:
         logs.write_json_lines(normalize.measure(batch, config.corpora_frame(spark), normalize.http_client(args.server)), args.out)
     elif args.verb == "repl":
         return repl(spark, models.load(spark, args.model), sys.stdin)
-    _ = F
     return 0
 
 
