@@ -68,3 +68,13 @@ def misclassified(rows: DataFrame, key: str, score: str, time: str, midpoint: fl
 
 def report_order(report: DataFrame) -> DataFrame:
     return report.orderBy(F.desc("num_repeat"), F.desc("error_size"))
+
+
+def classification_report(rows: DataFrame, label: str = "label", predicted: str = "predicted_class") -> DataFrame:
+    """precision, recall, f_beta and support for each class that occurs as label or prediction."""
+    pairs = rows.groupBy(F.col(label).cast("int").alias("t"), F.col(predicted).cast("int").alias("p")).count()
+    both = pairs.select(F.explode(F.array_distinct(F.array("t", "p"))).alias("class"), "t", "p", "count")
+    n = lambda cond: F.sum(F.when(cond, F.col("count")).otherwise(0))
+    at, to = F.col("t") == F.col("class"), F.col("p") == F.col("class")
+    sums = both.groupBy("class").agg(n(at & to).alias("hits"), n(to).alias("retrieved"), n(at).alias("relevant"))
+    return sums.select("class", *measures(F.col("hits"), F.col("retrieved"), F.col("relevant")), F.col("relevant").alias("support"))

@@ -83,6 +83,12 @@ def test_precision_without_retrieved_rows(spark):
     assert len(evaluation.THRESHOLDS) == 50 and 0.99 < evaluation.THRESHOLDS[49] < 0.99 + 1e-12
 
 
+def test_classification_report(spark):
+    rows = spark.createDataFrame([(1, 1)] * 3 + [(1, 0)] + [(0, 0)] * 5 + [(0, 1)], "label int, predicted_class int")
+    got = {r["class"]: (r.precision, r.recall, r.support) for r in evaluation.classification_report(rows).collect()}
+    assert got == {1: (0.75, 0.75, 4), 0: (5 / 6, 5 / 6, 6)}
+
+
 def test_strings(spark):
     row = spark.createDataFrame([(99_999, 121_826_797, 6_400_000_000, "cql_features.v7.144.nonzero.msgpack", "'v1.2'", ["word", "lc"])], "a long, b long, c long, f string, v string, l array<string>")
     got = row.select(columns.rough_size("a"), columns.rough_size("b"), columns.rough_size("c"), columns.model_base_name("f"), columns.clean_version("v"), columns.simple_query("l", F.lit("x")), columns.simple_query("l", F.lit("x"), strict=False)).first()
