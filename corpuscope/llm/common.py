@@ -30,11 +30,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written by materialize and not dropped yet.
+tables: list[str] = []
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        tables.remove(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

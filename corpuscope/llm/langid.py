@@ -57,14 +57,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (squared hinge loss), by accelerated gradient steps; y is -1 or 1, classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights and, last, the bias of a linear support vector machine (squared hinge loss), by accelerated gradient steps; y is -1 or 1, classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
+    w = v = np.zeros(x.shape[1] + 1)
     rate = 1.0 / (1.0 / c + 4.0)
     for t in range(steps):
-        slack = np.maximum(0.0, 1.0 - y * (x @ v))
-        step = v - rate * (v / c - 2.0 * ((weight * slack * y) @ x))
+        slope = weight * np.maximum(0.0, 1.0 - y * (x @ v[:-1].astype(x.dtype) + v[-1])) * y
+        step = v - rate * (v / c - 2.0 * np.append(slope.astype(x.dtype) @ x, slope.sum()))
         v = step + t / (t + 3) * (step - w)
         w = step
     return w
@@ -119,13 +118,19 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None
     def vectors(batches):
         for batch in batches:
             kept = [(d.as_py(), lang.as_py(), t.as_py()) for d, lang, t in zip(*batch.columns, strict=True) if has_letter(t.as_py())]
-            x = [features(t).astype("<f4").tobytes() for _, _, t in kept]
+            x = [features(t).astype("<f2").tobytes() for _, _, t in kept]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = labelled.mapInArrow(vectors, "doc_id long, lang string, x binary").orderBy("doc_id", "lang", "x").limit(2 * max_train).collect()
+    rows = labelled.mapInArrow(vectors, "doc_id long, lang string, x binary").limit(2 * max_train).collect()
     if not rows:
         return None
-    return LanguageModel(sorted({r["lang"] for r in rows}), np.array([np.frombuffer(r["x"], "<f4") for r in rows], dtype=float), [r["lang"] for r in rows])
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["lang"], r["x"]))
+    x = np.empty((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], "<f2")
+    y = [r["lang"] for r in rows]
+    del rows
+    return LanguageModel(sorted(set(y)), x, y)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, columns: list[str] | None = None) -> DataFrame:
