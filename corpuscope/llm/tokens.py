@@ -11,7 +11,7 @@ Files appear by a rename after they are whole, with the same bytes at each attem
 runs again, or twice at once, does no harm.
 
 Defined results: null text encodes as empty; each document ends with the end id, so an empty one has
-one id. Null doc_ids come first; repeated doc_ids are ordered by text. An empty table gives no shard.
+one id. Null doc_ids come first; repeated doc_ids are ordered by a hash of the text. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -130,8 +130,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab:
     spark = docs.sparkSession
     small_batches(spark)
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
-    order = ["doc_id", "text"]
-    docs = docs.select(*order)
+    order = ["doc_id", "text_hash"]  # short keys, as a sample of them goes to the driver
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     ranged = docs.repartitionByRange(shards, *order) if shards else docs.repartitionByRange(*order)
 
     def write(batches):
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab:
 
     store, path = _place(out)
     store.create_dir(path, recursive=True)
-    ranged.sortWithinPartitions(*order).mapInArrow(write, "shard long, n_docs long, n_ids long").write.parquet(f"{out}/totals")
+    ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, "shard long, n_docs long, n_ids long").write.parquet(f"{out}/totals")
     totals = spark.read.schema("shard long, n_docs long, n_ids long").parquet(f"{out}/totals")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     manifest = totals.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("dtype", F.lit(dtype))
