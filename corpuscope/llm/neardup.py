@@ -9,12 +9,13 @@
    part of its whole weight can't be similar enough to any other, and goes no further.
 3. Documents with the same weighted bag are one node from here on, however many they are.
 4. Each node gets BANDS * ROWS consistent weighted samples of its bag; bands of ROWS samples are keys.
-   Nodes that share a key are compared with the first of them in a fixed order; those that aren't
-   similar enough to it are compared among themselves, each with the leaders found so far. Every pair
-   is verified by its weighted Jaccard similarity. A pair at the threshold shares a key with
-   probability 1 - (1 - 0.8**5)**24 = 0.9999.
-5. Links join nodes to classes, by rounds of minimum labels over written tables. The class id is the
-   least doc_id of the class.
+   Nodes that share a key are first compared with the first of them in a fixed order, and linked to it
+   where the weighted Jaccard similarity reaches the threshold.
+5. Links join nodes to classes, by rounds of minimum labels over written tables.
+6. Within each key all pairs of nodes of different classes are then compared, dealt out by blocks, a
+   pair in the first key that it shares; pairs whose classes other links of their block have joined are
+   passed over. So each pair that shares a key is verified or lies in one class. A pair at the threshold
+   shares a key with probability 1 - (1 - 0.8**5)**24 = 0.9999. The class id is the least doc_id of the class.
 
 Defined results: text without words, or null, has no shingle and is a class of its own; text of
 fewer than five words is one shingle. Rows with a null doc_id take part; a class of such rows only has
@@ -36,6 +37,8 @@ from corpuscope.llm.common import materialize, release, small_batches
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Documents and shingles in a block, at most (but one document may be longer); comparisons dealt to one task by one first node.
 BLOCK_DOCS, BLOCK_SHINGLES, PER_SALT = 2048, 1 << 21, 500
+#: Nodes of a key, and bytes of their hashes, in a block of those compared among themselves, on average.
+SIDE, SIDE_BYTES = 500, 1 << 24
 _CHUNK = 1 << 20
 _U64 = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], _U64)
@@ -140,12 +143,12 @@ def _blocks(n_buckets: int):
     return run
 
 
-def _groups(batches, key: str):
-    """Lists of rows (dicts) with the same key, from batches sorted by it."""
+def _groups(batches, *keys: str):
+    """Lists of rows (dicts) with the same keys, from batches sorted by them."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0][key] != row[key]:
+            if held and any(held[0].get(k) != row.get(k) for k in keys):
                 yield held
                 held = []
             held.append(row)
@@ -295,35 +298,55 @@ def _against_first(threshold: float):
 
 
 def _among_rest(threshold: float):
-    """Rows sorted by (band, key, node): each is compared with the leaders before it, and leads if none is like it."""
+    """Rows sorted by (band, key, low, high): each is compared with those before it that no link has joined to it yet.
+
+    Where they are given: nodes of one root are joined from the start, blocks low and high are compared
+    with each other if they differ, and a pair is left to the first band whose key (of keys) it shares.
+    """
+
+    def compared(rows: list[dict]):
+        bags = [_bag_of(r["hashes"], r["weights"], r["weight"]) for r in rows]
+        weight = np.array([r["weight"] for r in rows])
+        ids: dict[bytes, int] = {}
+        root = np.array([ids.setdefault(r.get("root", r["node"]), len(ids)) for r in rows])
+        block = np.array([r.get("block", 0) for r in rows])
+        keys = np.array([r["keys"] for r in rows]) if "keys" in rows[0] else None
+        apart = rows[0].get("low") != rows[0].get("high")
+        for i in range(1, len(rows)):
+            may = (root[:i] != root[i]) & (np.minimum(weight[:i], weight[i]) >= threshold * np.maximum(weight[:i], weight[i]) * (1 - 1e-6))
+            if apart:
+                may &= block[:i] != block[i]
+            if keys is not None:
+                may &= np.argmax(keys[:i] == keys[i], axis=1) == rows[i]["band"]
+            for j in np.flatnonzero(may):
+                if root[j] != root[i] and similarity(bags[i], bags[j]) >= threshold:
+                    root[root == root[j]] = root[i]
+                    yield rows[i]["node"], rows[j]["node"]
 
     def run(batches):
-        now, leaders = None, []
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if (r["band"], r["key"]) != now:
-                    now, leaders = (r["band"], r["key"]), []
-                own = _bag_of(r["hashes"], r["weights"], r["weight"])
-                found = [node for node, bag in leaders if similarity(own, bag) >= threshold]
-                if not found:
-                    leaders.append((r["node"], own))
-                rows += [(r["node"], node) for node in found]
-            if rows:
-                yield _arrow(rows, "node binary, first binary")
+        for rows in _groups(batches, "band", "key", "low", "high"):
+            found = list(compared(rows))
+            if found:
+                yield _arrow(found, "node binary, first binary")
 
     return run
 
 
-def links(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b) of nodes that join all nodes of a class."""
+def candidates(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with their bags, and for each node and band: node, band, key and the first node of the key (null: the key has no other node)."""
     spark = held.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     nodes = held.where("hashes IS NOT NULL").groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("weights").alias("weights"), F.first("weight").alias("weight"))
     nodes = materialize(nodes, "neardup-nodes")
     keys = materialize(nodes.repartition(parts, "node").mapInArrow(_keys, "node binary, band int, key long"), "neardup-keys")
     firsts = keys.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(keys.join(firsts.drop("n"), ["band", "key"]), "neardup-met")
+    return nodes, materialize(keys.join(firsts.drop("n"), ["band", "key"], "left"), "neardup-met")
+
+
+def links(nodes: DataFrame, met: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified pairs (a, b) of a node and the first node of a key."""
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     pairs = met.where("node != first").select("node", "first").distinct()
     salts = F.ceil(F.count("*") / PER_SALT).cast("int")
     dealt = pairs.groupBy("first").agg(salts.alias("salts"))
@@ -331,19 +354,44 @@ def links(held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     heads = dealt.select(F.col("first").alias("node"), "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     whole = members.unionByName(heads).join(nodes, "node")
     dealt_out = whole.repartition(parts, "first", "salt").sortWithinPartitions("first", "salt", F.col("node") != F.col("first"))
-    checked = materialize(dealt_out.select("node", "first", "hashes", "weights", "weight").mapInArrow(_against_first(threshold), "node binary, first binary, alike boolean"), "neardup-checked")
-    release(spark)
-    unlike = checked.where(~F.col("alike")).select("node", "first")
-    rest = met.join(unlike, ["node", "first"], "left_semi").select("node", "band", "key")
-    several = rest.groupBy("band", "key").count().where("count > 1").drop("count")
-    rest = rest.join(several, ["band", "key"], "left_semi").join(nodes, "node")
-    more = rest.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_among_rest(threshold), "node binary, first binary")
-    out = checked.where("alike").select("node", "first").unionByName(more).distinct().select(F.col("node").alias("a"), F.col("first").alias("b"))
-    out = materialize(out, "neardup-links")
+    checked = dealt_out.select("node", "first", "hashes", "weights", "weight").mapInArrow(_against_first(threshold), "node binary, first binary, alike boolean")
+    out = materialize(checked.where("alike").select(F.col("node").alias("a"), F.col("first").alias("b")), "neardup-links")
     release(spark)
     return out
 
 
+def links_across(nodes: DataFrame, met: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of roots that all verified pairs of nodes across components join.
+
+    All nodes of a key but the first, which links has compared with all, are dealt to blocks: those of its
+    largest component to blocks of their own, which aren't compared with each other.
+    """
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sizes = nodes.select("node", F.length("hashes").alias("bytes"))
+    rest = met.where("node != first").select("node", "band", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "node")
+    sums = rest.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    groups = sums.groupBy("band", "key").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / SIDE, size / SIDE_BYTES)).cast("int")
+    small = (F.col("n") <= SIDE) & (F.col("bytes") <= SIDE_BYTES)
+    minor = F.when(small, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")))
+    major = F.when(small, 0).otherwise(blocks(F.col("top.n"), F.col("top.bytes")))
+    groups = groups.select("band", "key", F.col("top.root").alias("top"), minor.alias("minor"), major.alias("major"))
+    large = (F.col("root") == F.col("top")) & (F.col("major") > 0)
+    place = lambda n: F.pmod(F.xxhash64("node", "band"), n).cast("int")
+    dealt = rest.drop("bytes").join(groups, ["band", "key"]).withColumn("block", F.when(large, F.col("minor") + place(F.greatest("major", F.lit(1)))).otherwise(place(F.col("minor"))))
+    others = F.sequence(F.lit(0), F.when(large, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    all_keys = met.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "key"))), lambda k: k["key"]).alias("keys"))
+    whole = dealt.select("node", "band", "key", "low", "high", "block", "root").join(nodes.join(all_keys, "node"), "node")
+    found = whole.repartition(parts, "band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high", "node").mapInArrow(_among_rest(threshold), "node binary, first binary")
+    found = materialize(found.distinct(), "neardup-across")
+    release(spark)
+    a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in ("node", "first"))
+    named = found.join(a, "node", "left").join(b, "first", "left")
+    return named.select(F.coalesce("root_node", "node").alias("a"), F.coalesce("root_first", "first").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of its component. Each round hangs every node's neighbours to the least of them (large star, then small star) until nothing changes."""
     spark = edges.sparkSession
@@ -371,9 +419,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size: a row for each row of docs."""
     held = bags(docs, threshold)
-    roots = components(links(held, threshold))
+    nodes, met = candidates(held)
+    roots = components(links(nodes, met, threshold))
+    joined = components(links_across(nodes, met, roots, threshold))
     by_node = held.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = materialize(rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size"), "neardup-classes")
     out = held.select("doc_id", "node").join(named, "node", "left")

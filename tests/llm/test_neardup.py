@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuscope.llm import neardup, registry
@@ -120,3 +121,21 @@ def test_a_node_is_linked_to_every_leader_that_is_like_it():
     batch = neardup._arrow(rows, "band int, key long, node binary, hashes binary, weights binary, weight double")
     found = [tuple(r.values()) for out in neardup._among_rest(0.8)([batch]) for r in out.to_pylist()]
     assert found == [(b"c", b"a"), (b"c", b"b")]
+
+
+@pytest.mark.parametrize("side", [500, 1])
+def test_pairs_of_a_key_without_its_first_node_are_verified(spark, prose, monkeypatch, side):
+    """A chain of texts, each like the next only, in one key: whichever node is first, most links are between others."""
+
+    def one_key(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([0] * batch.num_rows, pa.int32()), pa.array([7] * batch.num_rows, pa.int64())], ["node", "band", "key"])
+
+    words = prose(400, 9).split()
+    texts = [" ".join(words[12 * i : 12 * i + 140]) for i in range(12)] + [" ".join(reversed(words[12 * i : 12 * i + 140])) for i in range(5)]
+    _, roots = brute(texts)
+    assert set(roots) == {0, 12}
+    monkeypatch.setattr(neardup, "_keys", one_key)
+    monkeypatch.setattr(neardup, "SIDE", side, raising=False)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(roots))
