@@ -4,8 +4,10 @@ Base patterns find e-mail addresses, network addresses, card and phone numbers,
 the text's length only. The random field then labels the tokens that hold a digit or an `@`
 (no kind lacks both; all other tokens are fixed as no entity). Its unary potentials see a token's shape
 and its neighbours'; chain potentials join tokens that follow each other closely; skip potentials join
-each token to the next one of the same or similar writing, however far. Loopy message passing gives
-marginals, and so labels that agree across the document. The potentials are learned piecewise here, from
+each token to the next one of the same or similar writing, however far. Tokens under base spans are
+held to the label of their span, and so are evidence for the others. Loopy message passing, in sweeps
+forth and back over the document until no message changes any more, gives marginals, and so labels that
+agree across the document. The potentials are learned piecewise here, from
 the base patterns' own findings in a sample of documents. Tokens labelled with enough certainty
 outside all base spans become further spans, named crf_<kind>.
 
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from corpuscope.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents learned from, about; tokens learned from, at most; rounds of messages; least marginal of an added span; hashed features.
-MAX_TRAIN, MAX_TOKENS, ROUNDS, SURE, DIMS = 3000, 100_000, 8, 0.9, 4096
+#: Documents learned from, about; tokens learned from, at most; least marginal of an added span; hashed features.
+MAX_TRAIN, MAX_TOKENS, SURE, DIMS = 3000, 100_000, 0.9, 4096
+#: Messages have converged when none changes by more than this; sweeps after which steps are halved, again and again, where loops keep them from settling.
+TOLERANCE, SWEEPS = 1e-4, 30
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,47 +147,76 @@ def silver(tokens: list, spans: list) -> list[int]:
     return out
 
 
+#: Log potential of a label that a token can't have.
+_NEVER = -60.0
+
+
 class SkipChain:
     """unary: weights by feature and label; chain, same, alike: log potentials by pair of labels."""
 
     def __init__(self, unary, chain, same, alike):
         self.unary, self.chain, self.same, self.alike = unary, chain, same, alike
 
-    def marginals(self, tokens: list) -> np.ndarray:
+    def marginals(self, tokens: list, held: list[int] | None = None) -> np.ndarray:
+        """A row of chances of labels for each token. held: labels that are known, and 0 for the others."""
         local = np.array([self.unary[f].sum(axis=0) for f in features(tokens)])
-        local = np.exp(local - local.max(axis=1, keepdims=True))
+        local -= local.max(axis=1, keepdims=True)
+        for i, label in enumerate(held or ()):
+            if label:
+                local[i] = _NEVER
+                local[i, label] = 0.0
         pairs, tables = [], []
         for some, table in zip(edges(tokens), (self.chain, self.same, self.alike), strict=True):
             pairs += some
             tables += [np.exp(table)] * len(some)
-        belief = local / local.sum(axis=1, keepdims=True)
-        if not pairs:
-            return belief
-        a, b = np.array(pairs).T
-        source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        table = np.array(tables + [t.T for t in tables])
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.full((len(source), local.shape[1]), 1.0 / local.shape[1])
-        for _ in range(ROUNDS):
-            log = np.log(local + 1e-30)
-            np.add.at(log, target, np.log(message + 1e-30))
-            out = log[source] - np.log(message[back] + 1e-30)
-            out = np.exp(out - out.max(axis=1, keepdims=True))
-            fresh = np.einsum("el,elm->em", out, table)
-            fresh /= fresh.sum(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * fresh
-        log = np.log(local + 1e-30)
-        np.add.at(log, target, np.log(message + 1e-30))
-        belief = np.exp(log - log.max(axis=1, keepdims=True))
+        belief = local
+        if pairs:
+            belief = self._passed(local, np.array(pairs), np.array(tables))
+        belief = np.exp(belief - belief.max(axis=1, keepdims=True))
         return belief / belief.sum(axis=1, keepdims=True)
 
+    @staticmethod
+    def _passed(local: np.ndarray, pairs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Log beliefs when messages have converged. A sweep sends each token's messages on once all that reach it from before (or, backwards, from behind) are new, so evidence crosses the whole document in it."""
+        n = len(local)
+        low, high = pairs.min(axis=1), pairs.max(axis=1)
+        sums = [np.zeros((len(pairs), local.shape[1])) for _ in range(2)]  # log messages forth and back
+        belief = local.copy()
+        ways = []
+        for source, target, table in ((low, high, tables), (high, low, tables.transpose(0, 2, 1))):
+            order = np.argsort(source, kind="stable")
+            edge = np.searchsorted(source[order], np.arange(n + 1))
+            ways.append((target, table, [order[edge[i] : edge[i + 1]] for i in range(n)]))
+        sweep = 0
+        while True:
+            share, change = 0.5 ** (sweep // SWEEPS), 0.0
+            for way, (target, table, out) in enumerate(ways):
+                own, back = sums[way], sums[1 - way]
+                for i in range(n) if way == 0 else range(n - 1, -1, -1):
+                    e = out[i]
+                    if not len(e):
+                        continue
+                    log = belief[i] - back[e]
+                    fresh = np.log(np.einsum("el,elm->em", np.exp(log - log.max(axis=1, keepdims=True)), table[e]))
+                    fresh -= fresh.max(axis=1, keepdims=True)
+                    step = share * (fresh - own[e])
+                    change = max(change, float(np.abs(step).max()))
+                    np.add.at(belief, target[e], step)
+                    own[e] += step
+            sweep += 1
+            if change <= TOLERANCE:
+                return belief
+
     def added(self, text: str, spans: list) -> list[tuple[int, int, int]]:
         """Spans beyond the base ones, with kinds from len(KINDS) on; neighbours with one label join."""
         tokens = candidates(text)
         if not tokens:
             return []
-        found = self.marginals(tokens)
-        best, taken = found.argmax(axis=1), silver(tokens, spans)
+        taken = silver(tokens, spans)
+        if all(taken):
+            return []
+        found = self.marginals(tokens, taken)
+        best = found.argmax(axis=1)
         out: list[tuple[int, int, int]] = []
         last = -9
         for i, (start, end, n, _) in enumerate(tokens):

@@ -73,3 +73,36 @@ def test_messages_carry_labels_over_skip_edges():
     alone = pii.SkipChain(unary, free, free, free).marginals(tokens)
     joined = pii.SkipChain(unary, free, tied, free).marginals(tokens)
     assert np.allclose(alone[2], 0.2) and joined[2].argmax() == 4 and joined[2, 4] > 0.8
+
+
+def test_labels_carry_over_any_number_of_mentions():
+    import numpy as np
+
+    n = 30
+    tokens = [(i * 10, i * 10 + 3, i * 50, "ab1") for i in range(n)]
+    unary = np.zeros((pii.DIMS, 5))
+    unary[pii.features(tokens)[0][0], 0] = 2.5
+    tied, free = np.where(np.eye(5) > 0, 3.0, -3.0), np.zeros((5, 5))
+    model = pii.SkipChain(unary, free, tied, free)
+    assert (model.marginals(tokens).argmax(axis=1) == 0).all()
+    # exact marginals of the chain, with the first mention held to phone
+    local = np.exp(np.array([unary[f].sum(axis=0) for f in pii.features(tokens)]))
+    local[0] = np.eye(5)[4]
+    forth, back = [local[0]], [np.ones(5)]
+    for i in range(1, n):
+        f = local[i] * (forth[-1] @ np.exp(tied))
+        forth.append(f / f.sum())
+        b = np.exp(tied) @ (local[n - i] * back[-1])
+        back.append(b / b.sum())
+    exact = np.array(forth) * np.array(back[::-1])
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert np.allclose(model.marginals(tokens, [4] + [0] * (n - 1)), exact, atol=1e-3)
+
+
+def test_base_spans_are_evidence():
+    import numpy as np
+
+    unary = np.zeros((pii.DIMS, 5))
+    tied, free = np.where(np.eye(5) > 0, 3.0, -3.0), np.zeros((5, 5))
+    text = "4111111111111111 " + "word and " * 20 + "4111111111111111 x"
+    assert pii.SkipChain(unary, free, tied, free).added(text, [(0, 2, 16)]) == [(197, 2 + len(pii.KINDS), 213)]
