@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -22,8 +23,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run on this machine (tests), one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or _own_dir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -59,12 +63,29 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker; keeps a lower bound set by the user."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+#: Rows and bytes of an Arrow batch, at most (but one row may be longer).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that a batch of long texts fits a Python worker; keeps lower bounds set by the user."""
+    unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    for key, most in BATCH.items():
+        now = re.match(r"(-?[0-9]+)([bkmg]?)", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) * unit[now[2]] <= most:
+            spark.conf.set(key, most)
+
+
+def new_name(df: DataFrame, base: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{base}{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
+
+
+def picked(key: F.Column | str, n: int, most: int) -> F.Column:
+    """Whether a row belongs to a sample of about most of n rows, by the hash of its key. The share is compared in 2**-62 steps, so it can't fall to nothing."""
+    share = max(1, (most << 62) // max(n, 1))
+    return F.pmod(F.xxhash64(key), F.lit(1 << 62)) < F.lit(min(share, 1 << 62))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -27,9 +27,9 @@ FAMILIES = {
     "slavic": ("cs", "sk", "pl", "ru", "uk", "bg", "sr", "hr", "sl"),
     "uralic": ("fi", "et", "hu"),
 }
-#: Width of the hashed feature vector; labelled documents learned from, at most.
+#: Width of the hashed feature vector; labelled documents learned from, at most; languages learned, at most (the most frequent ones).
 DIMS = 4096
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_LANGS = 3000, 200
 _CHUNK = 1 << 16
 
 
@@ -107,24 +107,37 @@ def _chance(margin: float) -> float:
     return float(1.0 / (1.0 + np.exp(-4.0 * margin)))
 
 
+def shares(counts: dict[str, int], max_train: int) -> dict[str, int]:
+    """What part of each language's rows is learned from, in 2**-62 steps. Languages get equal parts of max_train; what one lacks goes to those with more."""
+    out, left = {}, max_train
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota = max(1, min(n, left // (len(counts) - i)))
+        out[lang], left = max(1, (quota << 62) // n), max(0, left - quota)
+    return out
+
+
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None:
-    """Learns from text and lang of rows with both, where text has a letter: of at most about max_train rows, picked by the hash of doc_id."""
+    """Learns from text and lang of rows with both, where text has a letter: of about max_train rows at most, in equal parts by language, picked by the hash of doc_id and text."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    n = labelled.count()
-    if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train / n))
+    counts = dict(map(tuple, labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()))
+    if not counts:
+        return None
+    part = F.create_map(*[F.lit(x) for pair in shares(counts, max_train).items() for x in pair])
+    labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.try_element_at(part, F.col("lang")))
     small_batches(labelled.sparkSession)
 
     def vectors(batches):
         for batch in batches:
-            kept = [(d.as_py(), lang.as_py(), t.as_py()) for d, lang, t in zip(*batch.columns, strict=True) if has_letter(t.as_py())]
-            x = [features(t).astype("<f2").tobytes() for _, _, t in kept]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.string()), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
+            rows = [(d.as_py(), lang.as_py(), t.as_py()) for d, lang, t in zip(*batch.columns, strict=True)]
+            x = [features(t).astype("<f2").tobytes() if has_letter(t) else None for _, _, t in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = labelled.mapInArrow(vectors, "doc_id long, lang string, x binary").limit(2 * max_train).collect()
+    rows = labelled.mapInArrow(vectors, "doc_id long, lang string, x binary").limit(2 * max_train + len(counts)).collect()
+    if not rows:
+        raise RuntimeError("no labelled row was picked to learn from")
+    rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["lang"], r["x"]))
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["lang"], r["x"]))
     x = np.empty((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(r["x"], "<f2")
@@ -155,6 +168,16 @@ def held_out() -> F.Column:
 
 
 def drop_undetermined(docs: DataFrame, model: LanguageModel | None, min_score: float) -> DataFrame:
-    """docs without rows whose language can't be told (`und`, or a score below min_score)."""
-    kept = predict(docs, model, docs.columns)
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    """docs without rows whose language can't be told (`und`, or a score below min_score); columns and other rows are untouched."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(text: str | None) -> bool:
+        return has_letter(text) and sent.value.predict(features(text))[1] >= min_score
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([sent.value is not None and told(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,7 @@ that stay of one size as the input grows, so no task sees a whole source.
 Defined results: null text and text without words have size 0 and are never taken. A null source is a
 source of its own, last in order. Repeated rows count, and are taken, one by one. Equal sort keys fall
 to equal rows only, so reruns agree. An empty table gives an empty mix. Extra columns are passed over.
+Sources are few (a row for each fits one task); their documents may be any number.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import WORD, materialize
+from corpuscope.llm.common import WORD, materialize, new_name
 
 #: Weights given to the sources in order, repeating; total of the mix against all words; times a document may be taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -133,15 +134,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     its first words, joined by single spaces, and its n_chars follows.
     """
     names = docs.columns
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-docs")
-    sizes = sized(keyed, "__row")
+    row, n_words, whole = (new_name(docs, n) for n in ("row", "words", "whole"))
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-docs")
+    sizes = sized(keyed, row)
     sources = targets(sizes, **how)
-    taken = _taken(sizes, sources, how).select(F.col("row_key").alias("__row"), "words").join(sizes.select(F.col("row_key").alias("__row"), "size"), "__row")
-    taken = taken.select("__row", F.col("words").alias("__words"), (F.col("words") == F.col("size")).alias("__whole"))
+    taken = _taken(sizes, sources, how).join(sizes.select("row_key", "size"), "row_key")
+    taken = taken.select(F.col("row_key").alias(row), F.col("words").alias(n_words), (F.col("words") == F.col("size")).alias(whole))
     spaces = r"[\x20\x09-\x0D]+"
-    cut = F.array_join(F.slice(F.filter(F.split("text", spaces), lambda w: w != ""), F.lit(1), F.col("__words").cast("int")), " ")
-    out = keyed.join(taken, "__row").withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(cut))
+    cut = F.array_join(F.slice(F.filter(F.split("text", spaces), lambda w: w != ""), F.lit(1), F.col(n_words).cast("int")), " ")
+    out = keyed.join(taken, row).withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(cut))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__whole"), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(whole), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
     return out.select(*names)

@@ -3,7 +3,8 @@
 1. Each document becomes a bag of shingles of five words. The shingles' hashes travel, packed by blocks
    of documents, to the bucket of their leading bits, where the document frequency of each is counted,
    and back to their block. Only shingles that two documents share come back; of the others a
-   document needs the total weight alone.
+   document needs the total weight alone. There are as many buckets as the bytes of all texts ask for, so
+   one bucket and one block are all that a worker holds, at every size of the input.
 2. Weight: term frequency times 1 + ln(1 + N/df) / ln(1 + N), from 2 for a shingle of one document to
    little over 1 for one of all. A document whose shared shingles weigh less than the threshold's
    part of its whole weight can't be similar enough to any other, and goes no further.
@@ -20,6 +21,8 @@
 Defined results: text without words, or null, has no shingle and is a class of its own; text of
 fewer than five words is one shingle. Rows with a null doc_id take part; a class of such rows only has
 a null id. Repeated rows give a row each. An empty table gives an empty result. Extra columns are passed over.
+Blocks are cut from docs as they come: a task that runs again must see the same rows, as from a scan. Where it
+doesn't, the work ends with an error and not with wrong counts.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import materialize, release, small_batches
+from corpuscope.llm.common import materialize, new_name, release, small_batches
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Documents and shingles in a block, at most (but one document may be longer); comparisons dealt to one task by one first node.
-BLOCK_DOCS, BLOCK_SHINGLES, PER_SALT = 2048, 1 << 21, 500
+BLOCK_DOCS, BLOCK_SHINGLES, PER_SALT = 4096, 1 << 20, 500
+#: Bytes of text whose shingles meet in one bucket, on average.
+BUCKET_BYTES = 4 << 20
 #: Nodes of a key, and bytes of their hashes, in a block of those compared among themselves, on average.
 SIDE, SIDE_BYTES = 500, 1 << 24
 _CHUNK = 1 << 20
@@ -93,8 +98,8 @@ def _long(data: bytes, bucket: int) -> np.ndarray:
     return out.view("<u8").reshape(-1) | (_U64(bucket & 0xFFFF) << _U64(48))
 
 
-_OUT = "bucket int, block long, n int, docs binary, nulls binary, counts binary, hashes binary, often binary"
-_BACK = "block long, bucket int, n int, docs binary, nulls binary, alone binary, counts binary, hashes binary, often binary, df binary"
+_OUT = "bucket int, block long, parts int, n int, docs binary, nulls binary, digests binary, doc binary, hashes binary, often binary"
+_BACK = "block long, bucket int, parts int, n int, docs binary, nulls binary, digests binary, alone binary, doc binary, hashes binary, often binary, df binary"
 
 
 def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -104,41 +109,45 @@ def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _blocks(n_buckets: int):
-    """Packs documents (doc_id, text) into blocks, a row for each bucket."""
+    """Packs documents (doc_id, digest, text) into blocks, a row for each bucket that a block has shingles of; the first of them has the documents."""
 
-    def pack(block: int, ids: list, bags: list):
+    def pack(place: str, ids: list, digests: list, bags: list):
         hashes = np.concatenate([b[0] for b in bags])
         often = np.concatenate([b[1] for b in bags])
-        doc = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+        doc = np.repeat(np.arange(len(bags), dtype="<u2"), [len(b[0]) for b in bags])
         bucket = ((hashes >> _U64(32)) * _U64(n_buckets) >> _U64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        found, first = np.unique(bucket[order], return_index=True)
         docs = np.array([i or 0 for i in ids], "<i8").tobytes()
         nulls = np.array([i is None for i in ids], "u1").tobytes()
+        name = xxhash.xxh3_64(docs + place.encode())
+        name.update(hashes.tobytes())
+        block = name.intdigest() >> 1
+        if not len(found):
+            return _arrow([(0, block, 1, len(bags), docs, nulls, b"".join(digests), b"", b"", b"")], _OUT)
         rows = []
-        for b in range(n_buckets):
-            part = order[edges[b] : edges[b + 1]]
-            if b and not len(part):
-                continue
-            counts = np.bincount(doc[part], minlength=len(bags)).astype("<u4")
-            rows.append((b, block, len(bags), docs if b == 0 else None, nulls if b == 0 else None, counts.tobytes(), _short(hashes[part]), often[part].tobytes()))
+        for i, (b, part) in enumerate(zip(found.tolist(), np.split(order, first[1:]), strict=True)):
+            own = (docs, nulls, b"".join(digests)) if i == 0 else (None, None, None)
+            rows.append((b, block, len(found), len(bags), *own, doc[part].tobytes(), _short(hashes[part]), often[part].tobytes()))
         return _arrow(rows, _OUT)
 
     def run(batches):
         from pyspark import TaskContext
 
-        block, ids, bags, held = TaskContext.get().partitionId() << 24, [], [], 0
+        number, ids, digests, bags, held = 0, [], [], [], 0
+        place = lambda: f"{TaskContext.get().partitionId()}/{number}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, digest, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 bag = shingles(text.as_py())
                 ids.append(doc_id)
+                digests.append(digest.as_py() or bytes(16))
                 bags.append(bag)
                 held += len(bag[0])
                 if held >= BLOCK_SHINGLES or len(bags) >= BLOCK_DOCS:
-                    yield pack(block, ids, bags)
-                    block, ids, bags, held = block + 1, [], [], 0
+                    yield pack(place(), ids, digests, bags)
+                    number, ids, digests, bags, held = number + 1, [], [], [], 0
         if bags:
-            yield pack(block, ids, bags)
+            yield pack(place(), ids, digests, bags)
 
     return run
 
@@ -159,20 +168,26 @@ def _groups(batches, *keys: str):
 def _count_frequencies(batches):
     """For each bucket: the document frequency of each shingle; back go the shared ones, and how many occurrences of others each document has."""
     for rows in _groups(batches, "bucket"):
-        parts = [_long(r["hashes"], r["bucket"]) for r in rows]
-        _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df, at = counts[inverse].astype("<u4"), 0
-        for r, part in zip(rows, parts, strict=True):
-            own, often = df[at : at + len(part)], np.frombuffer(r["often"], "<u4")
-            at += len(part)
-            doc = np.repeat(np.arange(r["n"]), np.frombuffer(r["counts"], "<u4"))
+        hashes = np.concatenate([_long(r["hashes"], r["bucket"]) for r in rows])
+        order = np.argsort(hashes)
+        run = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0])) if len(hashes) else np.empty(0, np.int64)
+        df = np.empty(len(hashes), "<u4")
+        df[order] = np.repeat(np.diff(np.append(run, len(hashes))), np.diff(np.append(run, len(hashes))))
+        del hashes, order
+        at = 0
+        for r in rows:
+            doc, often = np.frombuffer(r["doc"], "<u2"), np.frombuffer(r["often"], "<u4")
+            own = df[at : at + len(doc)]
+            at += len(doc)
             shared = own > 1
-            alone = np.bincount(doc[~shared], often[~shared], minlength=r["n"]).astype("<u4")
-            kept = np.bincount(doc[shared], minlength=r["n"]).astype("<u4")
-            yield _arrow([(r["block"], r["bucket"], r["n"], r["docs"], r["nulls"], alone.tobytes(), kept.tobytes(), _short(part[shared]), often[shared].tobytes(), own[shared].tobytes())], _BACK)
+            lone, n = np.unique(doc[~shared], return_inverse=True)
+            alone = np.zeros(len(lone), [("doc", "<u2"), ("n", "<u4")])
+            alone["doc"], alone["n"] = lone, np.bincount(n, often[~shared], len(lone))
+            kept = np.frombuffer(r["hashes"], np.uint8).reshape(-1, 6)[shared].tobytes()
+            yield _arrow([(r["block"], r["bucket"], r["parts"], r["n"], r["docs"], r["nulls"], r["digests"], alone.tobytes(), doc[shared].tobytes(), kept, often[shared].tobytes(), own[shared].tobytes())], _BACK)
 
 
-_BAG = "doc_id long, node binary, weight double, hashes binary, weights binary"
+_BAG = "doc_id long, digest binary, node binary, weight double, hashes binary, weights binary"
 
 
 def _bags(n_docs: int, threshold: float):
@@ -180,14 +195,21 @@ def _bags(n_docs: int, threshold: float):
 
     def run(batches):
         for rows in _groups(batches, "block"):
+            rows.sort(key=lambda r: r["docs"] is None)
+            if len(rows) != rows[0]["parts"] or rows[0]["docs"] is None:
+                raise RuntimeError("a block came back in part: its task ran again on other rows")
             n = rows[0]["n"]
-            rows.sort(key=lambda r: r["bucket"])
             ids = np.frombuffer(rows[0]["docs"], "<i8").tolist()
-            nulls = np.frombuffer(rows[0]["nulls"], "u1")
-            alone = np.sum([np.frombuffer(r["alone"], "<u4") for r in rows], axis=0, dtype=np.float64)
-            doc = np.concatenate([np.repeat(np.arange(n), np.frombuffer(r["counts"], "<u4")) for r in rows])
+            nulls, digests = np.frombuffer(rows[0]["nulls"], "u1"), rows[0]["digests"]
+            alone = np.zeros(n)
+            for r in rows:
+                own = np.frombuffer(r["alone"], [("doc", "<u2"), ("n", "<u4")])
+                alone[own["doc"]] += own["n"]
+            doc = np.concatenate([np.frombuffer(r["doc"], "<u2") for r in rows])
             hashes = np.concatenate([_long(r["hashes"], r["bucket"]) for r in rows])
             weights = np.concatenate([np.frombuffer(r["often"], "<u4") * idf(np.frombuffer(r["df"], "<u4").astype(float), n_docs) for r in rows]).astype("<f4")
+            block, number = rows[0]["block"], len(rows)
+            del rows
             order = np.lexsort((hashes, doc))
             edges = np.searchsorted(doc[order], np.arange(n + 1))
             hashes, weights = hashes[order], weights[order]
@@ -196,19 +218,19 @@ def _bags(n_docs: int, threshold: float):
                 own, w = hashes[edges[i] : edges[i + 1]], weights[edges[i] : edges[i + 1]]
                 shared = float(w.sum(dtype=np.float64))
                 total = shared + float(alone[i]) * float(idf(1.0, n_docs))
-                doc_id = None if nulls[i] else ids[i]
+                doc_id, digest = None if nulls[i] else ids[i], digests[16 * i : 16 * i + 16]
                 if not len(own) or shared < threshold * total * (1 - 1e-6):
-                    out.append((doc_id, None, total, None, None))
+                    out.append((doc_id, digest, None, total, None, None))
                     continue
-                digest = xxhash.xxh3_128(own.tobytes())
-                digest.update(w.tobytes())
-                digest.update(np.float64(total).tobytes())
+                name = xxhash.xxh3_128(own.tobytes())
+                name.update(w.tobytes())
+                name.update(np.float64(total).tobytes())
                 if alone[i]:  # no other document has the same bag
-                    digest.update(f"{rows[0]['block']}/{i}")
-                node = digest.digest()
+                    name.update(f"{block}/{number}/{i}")
+                node = name.digest()
                 first = node not in seen  # a bag is sent once for a block
                 seen.add(node)
-                out.append((doc_id, node, total, own.tobytes() if first else None, w.tobytes() if first else None))
+                out.append((doc_id, digest, node, total, own.tobytes() if first else None, w.tobytes() if first else None))
             yield _arrow(out, _BAG)
 
     return run
@@ -255,13 +277,13 @@ def _bag_of(hashes, weights, weight) -> tuple:
 
 
 def bags(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document: doc_id, node (null: not similar to any other), weight, and, at least once for each node, its bag."""
+    """A row for each document: doc_id, digest (MD5 of its text), node (null: not similar to any other), weight, and, at least once for each node, its bag."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_docs = docs.count()
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sent = docs.select("doc_id", "text").mapInArrow(_blocks(parts), _OUT)
-    counted = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_frequencies, _BACK)
+    sent = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_blocks(max(parts, n_bytes // BUCKET_BYTES + 1)), _OUT)
+    counted = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(_count_frequencies, _BACK)
     out = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_bags(n_docs, threshold), _BAG)
     out = materialize(out, "neardup-bags")
     release(spark)
@@ -416,23 +438,51 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size: a row for each row of docs."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, digest, node), and the root of each node."""
     held = bags(docs, threshold)
     nodes, met = candidates(held)
     roots = components(links(nodes, met, threshold))
-    joined = components(links_across(nodes, met, roots, threshold))
+    joined = components(links_across(nodes, met, roots, threshold)).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    rooted = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(joined, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    return held.select("doc_id", "digest", "node"), rooted
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size: a row for each row of docs."""
+    held, rooted = _classes(docs, threshold)
     by_node = held.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    rooted = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").withColumn("root", F.coalesce("over", "root"))
+    rooted = rooted.join(by_node, "node")
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = materialize(rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size"), "neardup-classes")
     out = held.select("doc_id", "node").join(named, "node", "left")
     return out.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
+def keep_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each class: that of the least doc_id (null last), then of the least digest of the text.
+
+    Of rows that share both doc_id and text one stays, whichever; texts without words all stay. Columns and other rows are untouched.
+    """
+    held, rooted = _classes(docs, threshold)
+    rows = held.where("node IS NOT NULL").groupBy("node", "doc_id", "digest").agg(F.count("*").alias("n")).join(rooted, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")
+    firsts = rows.groupBy("root").agg(F.min(order).alias("first"), F.sum("n").alias("size")).where("size > 1")
+    found = rows.join(firsts, "root").select("doc_id", "digest", "n", (order == F.col("first")).alias("stays"))
+    found = materialize(found.where("NOT stays OR n > 1"), "neardup-drop")
+    key, digest = new_name(docs, "key"), new_name(docs, "digest")
+    named = found.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), "stays")
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.unhex(F.md5(docs["text"])) == F.col(digest))
+    kept = docs.join(named.where("NOT stays").drop("stays"), same, "left_anti")
+    several = named.where("stays").drop("stays")
+    if several.isEmpty():
+        return kept
+    return kept.join(several, same, "left_anti").unionByName(kept.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class: the one whose doc_id names it; of rows that repeat a doc_id one stays. Rows with a null doc_id stay."""
+    """For tables in which doc_id is a key: docs with one document of each class, the one whose doc_id names it; of rows that repeat a doc_id one stays, rows with a null doc_id all stay. keep_rows goes by row instead."""
     found = near_duplicates(docs, threshold)
     drop = found.where("doc_id != class_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")

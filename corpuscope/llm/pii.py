@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import small_batches
+from corpuscope.llm.common import materialize, picked, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents learned from, about; tokens learned from, at most; least marginal of an added span; hashed features.
@@ -99,7 +99,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def _shape(word: str) -> str:
-    return re.sub("[0-9]+", lambda m: "9" * min(4, len(m[0])), re.sub(r"[^\W\d_]+", "a", word[:200]))[:24]
+    return re.sub("[0-9]+", lambda m: "9" * min(4, len(m[0])), re.sub(r"[^\W\d_]+", "a", word))
 
 
 def _bucket(name: str) -> int:
@@ -231,17 +231,18 @@ class SkipChain:
         return out
 
 
-def _association(pairs: np.ndarray, n: int) -> np.ndarray:
+def _association(counts: dict[tuple[int, int], int], n: int) -> np.ndarray:
     """Log of how much more often labels meet on an edge than apart, from counts with one more everywhere."""
     joint = np.ones((n, n))
-    np.add.at(joint, tuple(pairs.T), 1)
+    for pair, often in counts.items():
+        joint[pair] += often
     joint = joint + joint.T
     joint /= joint.sum()
     side = joint.sum(axis=0)
     return np.clip(np.log(joint / np.outer(side, side)), -3, 3)
 
 
-def _learn(tokens: list[list[int]], labels: np.ndarray, pairs: list[np.ndarray]) -> SkipChain | None:
+def _learn(tokens: list[list[int]], labels: np.ndarray, pairs: list[dict[tuple[int, int], int]]) -> SkipChain | None:
     if not len(labels) or not labels.any():
         return None
     n = len(KINDS) + 1
@@ -259,31 +260,42 @@ def _learn(tokens: list[list[int]], labels: np.ndarray, pairs: list[np.ndarray])
     return SkipChain(weights, *[_association(p, n) for p in pairs])
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SkipChain | None:
-    """Learns from what the base patterns find in about max_train documents with a digit or `@`, picked by the hash of doc_id, and at most MAX_TOKENS tokens of them."""
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_tokens: int = MAX_TOKENS) -> SkipChain | None:
+    """Learns from what the base patterns find in about max_train documents with a digit or `@`, picked by the hash of doc_id and text.
+
+    All edges of these documents are counted by label; of their tokens about max_tokens at most are learned from, picked by the hash of document and place.
+    """
     hinted = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     n = hinted.count()
-    if n > max_train:
-        hinted = hinted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train / n))
+    if not n:
+        return None
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            kinds, values = [], []
-            for text in batch.column(0).to_pylist():
+            kinds, keys, values = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, spans = candidates(text), base_spans(text)
                 labels = silver(tokens, spans)
-                for f, y in zip(features(tokens), labels, strict=True):
-                    kinds.append(0)
-                    values.append([y, *f])
+                kinds += [0] * len(tokens)
+                keys += [key + i for i in range(len(tokens))]
+                values += [[y, *f] for f, y in zip(features(tokens), labels, strict=True)]
                 for k, some in enumerate(edges(tokens)):
                     kinds += [k + 1] * len(some)
+                    keys += [0] * len(some)
                     values += [[labels[a], labels[b]] for a, b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.list_(pa.int32()))], ["kind", "value"])
-
-    rows = hinted.select("text").mapInArrow(run, "kind int, value array<int>").limit(MAX_TOKENS).collect()
-    own = [[r["value"] for r in rows if r["kind"] == k] for k in range(4)]
-    return _learn([v[1:] for v in own[0]], np.array([v[0] for v in own[0]], int), [np.array(p, int).reshape(-1, 2) for p in own[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int32()))], ["kind", "key", "value"])
+
+    key = F.shiftright(F.xxhash64("doc_id", "text"), 1).alias("key")
+    rows = hinted.where(picked(F.xxhash64("doc_id", "text"), n, max_train)).select(key, "text").mapInArrow(run, "kind int, key long, value array<int>")
+    rows = materialize(rows, "pii-tokens")
+    if rows.isEmpty():
+        raise RuntimeError("no document was picked to learn from")
+    counts = rows.where("kind > 0").groupBy("kind", "value").count().collect()
+    tokens = rows.where("kind = 0")
+    own = sorted(r["value"] for r in tokens.where(picked("key", tokens.count(), max_tokens)).collect())
+    pairs = [{tuple(r["value"]): r["count"] for r in counts if r["kind"] == k} for k in (1, 2, 3)]
+    return _learn([v[1:] for v in own], np.array([v[0] for v in own], int), pairs)
 
 
 def find_pii(docs: DataFrame, model: SkipChain | None) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import SPACES, materialize
+from corpuscope.llm.common import SPACES, materialize, picked
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -143,15 +143,17 @@ def learn(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> li
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).cast("int").alias("junk"))
     n = known.count()
     if n > max_train:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train / n))
+        known = known.where(picked("doc_id", n, max_train))
+        if known.isEmpty():
+            raise RuntimeError("no label was picked to learn from")
     usable = stats.where("n_words > 0 AND n_lines > 0").where(~base_failed())
     rows = usable.join(known, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)))
     rows = materialize(rows, "quality-labelled")
     grid = {}
     shares = [(i + 0.5) / CUTS for i in range(CUTS)]
-    picked = rows.agg(*[F.percentile(F.expr(e), shares).alias(f) for f, e in FEATURES.items()]).first()
+    found = rows.agg(*[F.percentile(F.expr(e), shares).alias(f) for f, e in FEATURES.items()]).first()
     for f in FEATURES:
-        grid[f] = sorted(set(picked[f] or []))
+        grid[f] = sorted(set(found[f] or []))
     total = rows.agg(F.sum("junk")).first()[0] or 0
     rules: list[tuple[Condition, ...]] = []
     left = rows
