@@ -9,11 +9,16 @@ the whole corpus without the document itself,
 N' is the number of words and the word before a document's first one is a mark of its own. The
 document is left out of its counts, else no bigram of the corpus would ever be unseen.
 
-The relations are packed: blocks of documents explode their n-grams, a row for each block and hash
-partition. In its partition, an n-gram meets all its other occurrences; the counts are summed there and
-joined back to the exploded n-grams. The counts return to their block, where they are summed by
-document. The count tables so grow with the corpus, are dealt evenly by hash, and an n-gram of many
-documents has one entry a document, however often it occurs in it.
+1. Blocks of documents are written as packed rows: their words, their distinct bigrams, and which
+   document holds which bigram how often. A block bounds what a worker holds, and counts its n-grams before any shuffle.
+2. Each block is exploded to rows (gram, block, place, n), with gram the 64-bit hash of a word or bigram.
+   Summed by gram they are the count table, which grows with the corpus and is partitioned by hash.
+3. The count table is joined to the exploded n-grams, so that each block gets the totals of its n-grams, by
+   place. An n-gram of all documents has one row a block, however often it occurs.
+4. Each block meets its totals, and its documents' scores are summed up.
+
+Spark does the aggregation, the join and all shuffles. Two of 10^11 n-grams that share a hash are expected at about 270 pairs, whose
+counts then add up.
 
 Defined results: null text and text without words have n_words 0, score 0 and a null mean. Repeated rows give
 a row each, and count as documents of their own. Extra columns are passed over.
@@ -22,16 +27,17 @@ a row each, and count as documents of their own. Extra columns are passed over.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import materialize, release, small_batches
-from corpuscope.llm.neardup import _MUL, _U64, _arrow, _groups, _long, _mix, _short, word_hashes
+from corpuscope.llm.neardup import _MUL, _U64, _arrow, _mix, word_hashes
 
 BACKOFF = 0.4
-#: Documents and words in a block, at most (but one document may be longer).
-BLOCK_DOCS, BLOCK_WORDS = 2048, 1 << 20
+#: Documents and words in a block, at most (but one document may be longer); n-grams in an Arrow batch.
+BLOCK_DOCS, BLOCK_WORDS, SENT = 1 << 14, 1 << 20, 1 << 16
 #: Stands before the first word of a document.
 _BEGIN = _U64(0x1D8AF066F3A1B2C5)
 
@@ -47,160 +53,128 @@ def _unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> _U64(32)) * _U64(n) >> _U64(32)).astype(np.int64)
-
+_BLOCK = "block long, n_docs int, n_words long, docs binary, nulls binary, sizes binary, words binary, often binary, before binary, word binary, entries binary, pair binary, count binary"
 
-def _pair_hash(words: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(words[before] * _MUL[0] + words[word] * _MUL[1] + _MUL[2])
 
+def _packed(number: int, ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
+    """A block: distinct words (ascending hashes) with counts, distinct bigrams (places of two words, ascending), and for each document its bigrams (places, ascending) with counts."""
+    sizes = np.array([len(d) for d in docs])
+    full = [np.concatenate([[_BEGIN], d]) if len(d) else d for d in docs]
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in full])
+    words, place, often = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
+    del full
+    within = doc[1:] == doc[:-1]
+    bits = max(1, int(len(words)).bit_length())
+    code = (place[:-1][within] << bits) | place[1:][within]
+    pairs, at = np.unique(code, return_inverse=True)
+    wide = max(1, int(len(pairs)).bit_length())
+    entry, count = np.unique((doc[1:][within] << wide) | at, return_counts=True)
+    entries = np.bincount(entry >> wide, minlength=len(docs))
+    pair = entry & ((1 << wide) - 1)
+    step = np.diff(pair, prepend=0)
+    first = (np.cumsum(entries) - entries)[entries > 0]
+    step[first] = pair[first]
+    ids_ = np.array([i or 0 for i in ids], "<i8").tobytes()
+    nulls = np.array([i is None for i in ids], "u1").tobytes()
+    before, word = pairs >> bits, pairs & ((1 << bits) - 1)
+    packed = (_pack(sizes, "<u4"), words.tobytes(), _pack(often, "<u4"), _pack(np.diff(before, prepend=0), "<u4"), _pack(word, "<u4"), _pack(entries, "<u4"), _pack(step, "<u4"), _pack(count, "<u4"))
+    return _arrow([(number, len(docs), int(sizes.sum()), ids_, nulls, *packed)], _BLOCK)
 
-class _Block:
-    """A block's distinct words (ascending hashes) with counts, and its distinct entries (document, word before, word) with counts, in this order. Words are given by their place."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        full = [np.concatenate([[_BEGIN], d]) if len(d) else d for d in docs]
-        doc = np.repeat(np.arange(len(docs)), [len(d) for d in full])
-        self.words, place, self.often = np.unique(np.concatenate(full), return_inverse=True, return_counts=True)
-        within = doc[1:] == doc[:-1]
-        bits = max(1, int(len(self.words)).bit_length())
-        code = (doc[1:][within].astype(_U64) << _U64(2 * bits)) | (place[:-1][within].astype(_U64) << _U64(bits)) | place[1:][within].astype(_U64)
-        code, self.count = np.unique(code, return_counts=True)
-        low = _U64((1 << bits) - 1)
-        self.doc = (code >> _U64(2 * bits)).astype(np.int64)
-        self.before, self.word = ((code >> _U64(bits)) & low).astype(np.int64), (code & low).astype(np.int64)
-
-
-def _blocks(emit):
-    """Cuts a partition's (doc_id, text) rows into blocks; emit(number, doc_ids, hashes of words by document, block) makes a batch."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        number, ids, docs, held = TaskContext.get().partitionId() << 24, [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                docs.append(word_hashes(text.as_py()))
-                held += len(docs[-1])
-                if held >= BLOCK_WORDS or len(docs) >= BLOCK_DOCS:
-                    yield emit(number, ids, docs, _Block(docs))
-                    number, ids, docs, held = number + 1, [], [], 0
-        if docs:
-            yield emit(number, ids, docs, _Block(docs))
 
-    return run
+def _blocks(batches):
+    """Cuts a partition's (doc_id, text) rows into blocks."""
+    from pyspark import TaskContext
 
+    number, ids, docs, held = TaskContext.get().partitionId() << 24, [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            docs.append(word_hashes(text.as_py()))
+            held += len(docs[-1])
+            if held >= BLOCK_WORDS or len(docs) >= BLOCK_DOCS:
+                yield _packed(number, ids, docs)
+                number, ids, docs, held = number + 1, [], [], 0
+    if docs:
+        yield _packed(number, ids, docs)
 
-_OUT = "bucket int, block long, pairs binary, pair_counts binary, words binary, word_counts binary"
-_BACK = "block long, bucket int, n_words long, pair_counts binary, word_counts binary"
-_SELF = "docs binary, nulls binary, sizes binary, words binary, entries binary, before binary, word binary, count binary"
 
+class _Block:
+    """A row of the block table, unpacked."""
 
-def _explode(n_buckets: int):
-    def emit(number, ids, docs, b: _Block):
-        h = _pair_hash(b.words, b.before, b.word)
-        bucket = _bucket(h, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        word_edges = np.searchsorted(_bucket(b.words, n_buckets), np.arange(n_buckets + 1))
-        rows = []
-        for k in range(n_buckets):
-            p, w = order[edges[k] : edges[k + 1]], slice(word_edges[k], word_edges[k + 1])
-            rows.append((k, number, _short(h[p]), _pack(b.count[p], "<u4"), b.words[w].tobytes(), _pack(b.often[w], "<u4")))
-        return _arrow(rows, _OUT)
+    def __init__(self, row: dict):
+        number = lambda k: _unpack(row[k], "<u4").astype(np.int64)
+        self.words, self.often = np.frombuffer(row["words"], _U64), number("often")
+        self.before, self.word = np.cumsum(number("before")), number("word")
+        self.sizes, self.entries, self.count = number("sizes"), number("entries"), number("count")
+        run = np.cumsum(number("pair"))
+        first = np.cumsum(self.entries) - self.entries
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.entries)
+        self.pair = run - np.repeat(np.where(first > 0, run[np.maximum(first, 1) - 1], 0) if len(run) else first, self.entries)
 
-    return emit
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, then of all bigrams, and how often each occurs in the block."""
+        bigrams = _mix(self.words[self.before] * _MUL[0] + self.words[self.word] * _MUL[1] + _MUL[2])
+        return np.concatenate([self.words, bigrams]), np.concatenate([self.often, np.bincount(self.pair, self.count, len(self.word)).astype(np.int64)])
 
 
-def _sums(hashes: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
-    _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    return np.bincount(place, np.concatenate(counts)).astype(np.int64)[place]
+_GRAM = "gram long, block long, place int, n int"
 
 
-def _count(batches):
-    """For each hash partition: the count table of its n-grams, joined back to each block's; a bigram's own document is taken out."""
-    for rows in _groups(batches, "bucket"):
-        pairs, own = [_long(r["pairs"], r["bucket"]) for r in rows], [_unpack(r["pair_counts"], "<u4") for r in rows]
-        words, often = [np.frombuffer(r["words"], _U64) for r in rows], [_unpack(r["word_counts"], "<u4") for r in rows]
-        pair_sums = (_sums(pairs, own) - np.concatenate(own)) if sum(map(len, pairs)) else np.empty(0)
-        word_sums = _sums(words, often) if sum(map(len, words)) else np.empty(0)
-        p = w = 0
-        for r, a, b, o in zip(rows, pairs, words, often, strict=True):
-            n = int(o[b != _BEGIN].sum())
-            yield _arrow([(r["block"], r["bucket"], n, _pack(pair_sums[p : p + len(a)], "<u8"), _pack(word_sums[w : w + len(b)], "<u8"))], _BACK)
-            p, w = p + len(a), w + len(b)
+def _explode(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            grams, n = _Block(row).grams()
+            for at in range(0, len(grams), SENT):
+                some = grams[at : at + SENT].view(np.int64)
+                columns = (some, np.full(len(some), row["block"]), np.arange(at, at + len(some), dtype=np.int32), n[at : at + SENT].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "place", "n"])
 
 
-def _structure(number, ids, docs, b: _Block):
-    entries = np.bincount(b.doc, minlength=len(docs))
-    step = np.diff(b.before, prepend=0)
-    first = np.cumsum(entries) - entries
-    step[first[entries > 0]] = b.before[first[entries > 0]]
-    ids_ = np.array([i or 0 for i in ids], "<i8").tobytes()
-    nulls = np.array([i is None for i in ids], "u1").tobytes()
-    sizes = np.array([len(d) for d in docs])
-    row = (number, -1, 0, None, None, ids_, nulls, _pack(sizes, "<u4"), b.words.tobytes(), _pack(entries, "<u4"), _pack(step, "<u4"), _pack(b.word, "<u4"), _pack(b.count, "<u4"))
-    return _arrow([row], f"{_BACK}, {_SELF}")
+def _own(doc: np.ndarray, wanted: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """How often each entry's wanted word occurs in its own document; the begin mark, which follows no word, once."""
+    key, inverse = np.unique(doc * n + word, return_inverse=True)
+    often = np.bincount(inverse, count)
+    at = np.minimum(np.searchsorted(key, doc * n + wanted), max(0, len(key) - 1))
+    return np.where(key[at] == doc * n + wanted, often[at], 1) if len(key) else np.empty(0)
 
 
 _SCORE = "doc_id long, n_words long, score double"
 
 
-def _score(total: int, backoff: float, n_buckets: int):
-    """For each block: the counts of its n-grams, summed up by document."""
-
-    def run(batches):
-        for rows in _groups(batches, "block"):
-            rows.sort(key=lambda r: r["bucket"])
-            own, parts = rows[0], rows[1:]
-            if own["bucket"] != -1 or own["docs"] is None:
-                raise RuntimeError("a block's counts came back without its documents")
-            sizes, entries = _unpack(own["sizes"], "<u4").astype(np.int64), _unpack(own["entries"], "<u4").astype(np.int64)
-            doc = np.repeat(np.arange(len(sizes)), entries)
-            words = np.frombuffer(own["words"], _U64)
-            word, count, step = (_unpack(own[k], "<u4").astype(np.int64) for k in ("word", "count", "before"))
-            run_up = np.cumsum(step)
-            first = np.cumsum(entries) - entries
-            before = run_up - np.repeat(np.where(first > 0, run_up[np.maximum(first, 1) - 1], 0) if len(step) else first, entries)
-            order = np.argsort(_bucket(_pair_hash(words, before, word), n_buckets), kind="stable")
-            back = np.concatenate([_unpack(r["pair_counts"], "<u8") for r in parts])
-            counts = np.concatenate([_unpack(r["word_counts"], "<u8") for r in parts]).astype(float)
-            if len(back) != len(order) or len(counts) != len(words):
-                raise RuntimeError("a block's counts don't match its n-grams")
-            pairs = np.empty(len(order))
-            pairs[order] = back
-            context = counts[before] - _own(doc, before, word, count, len(words))
-            single = counts[word] - _own(doc, word, word, count, len(words))
-            rest = np.maximum(total - sizes[doc], 1)
-            seen = (pairs > 0) & (context > 0)
-            chance = np.where(seen, pairs / np.maximum(context, 1), backoff * np.maximum(single, 0.5) / rest)
-            score = np.bincount(doc, count * np.log(chance), len(sizes))
-            ids, nulls = np.frombuffer(own["docs"], "<i8").tolist(), np.frombuffer(own["nulls"], "u1")
-            yield _arrow([(None if nulls[i] else ids[i], int(sizes[i]), float(score[i])) for i in range(len(sizes))], _SCORE)
+def _score(total: int, backoff: float):
+    """A block and the totals of its n-grams: the sums of its documents."""
+
+    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        b = _Block(row)
+        if totals.num_rows != len(b.words) + len(b.word):
+            raise RuntimeError("a block's totals don't match its n-grams")
+        counts = np.empty(totals.num_rows)
+        counts[totals.column("place").to_numpy()] = totals.column("total").to_numpy()
+        n_words = len(b.words)
+        before, word = b.before[b.pair], b.word[b.pair]
+        pairs = counts[n_words + b.pair] - b.count
+        context = counts[before] - _own(b.doc, before, word, b.count, n_words)
+        single = counts[word] - _own(b.doc, word, word, b.count, n_words)
+        rest = np.maximum(total - b.sizes[b.doc], 1)
+        seen = (pairs > 0) & (context > 0)
+        chance = np.where(seen, pairs / np.maximum(context, 1), backoff * np.maximum(single, 0.5) / rest)
+        score = np.bincount(b.doc, b.count * np.log(chance), len(b.sizes)).astype(float)
+        ids, nulls = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["nulls"], "u1") != 0
+        return pa.table([pa.array(ids, pa.int64(), mask=nulls), pa.array(b.sizes, pa.int64()), pa.array(score)], ["doc_id", "n_words", "score"])
 
     return run
 
 
-def _own(doc: np.ndarray, wanted: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """How often each entry's wanted word occurs in its own document; the begin mark, which follows no word, once."""
-    key, inverse = np.unique(doc * n + word, return_inverse=True)
-    often = np.bincount(inverse, count)
-    at = np.minimum(np.searchsorted(key, doc * n + wanted), max(0, len(key) - 1))
-    return np.where(key[at] == doc * n + wanted, often[at], 1) if len(key) else np.empty(0)
-
-
 def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of ln S), mean (score for each word): a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    exploded = docs.mapInArrow(_blocks(_explode(parts)), _OUT)
-    counts = materialize(exploded.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _BACK), "lm-counts")
+    blocks = materialize(docs.select("doc_id", "text").mapInArrow(_blocks, _BLOCK), "lm-blocks")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    grams = blocks.select(*[f.split()[0] for f in _BLOCK.split(", ")]).mapInArrow(_explode, _GRAM)
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"))
+    totals = materialize(grams.join(counts, "gram").select("block", "place", "total"), "lm-totals")
     release(spark)
-    total = counts.agg(F.sum("n_words")).first()[0] or 0
-    structure = docs.mapInArrow(_blocks(_structure), f"{_BACK}, {_SELF}")
-    both = structure.unionByName(counts, allowMissingColumns=True)  # first, so that blocks are numbered by the same partitions as before
-    scored = both.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_score(total, backoff, parts), _SCORE)
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(total, backoff), _SCORE)
     return scored.withColumn("mean", F.try_divide("score", "n_words"))
