@@ -50,3 +50,35 @@ def test_trigrams_decide_candidates(spark):
     docs = documents(spark, ["passw sword", "password", "akia", "AKIA0"])
     got = {r.doc_id: (r.maybe_assign, r.maybe_access) for r in secrets.candidates(secrets.index(docs)).collect()}
     assert got[1] == (True, False) and got[2] == got[3] == (False, True) and set(got) <= {0, 1, 2, 3}
+
+
+def test_queries_are_derived_from_the_regex(spark):
+    """A new rule needs nothing but its regex; what it doesn't make mandatory isn't asked for."""
+    shown = lambda regex: [sorted("".join(sorted(s)) for s in clause) for clause in secrets.query_of(secrets.Rule("x", regex))]
+    assert shown("abcd") == [["abcbcd"]]
+    assert shown("abc|xyz+") == [] and shown("abc|(?:xyz)+") == [["abc", "xyz"]]
+    assert shown("[0-9a-f]+") == shown("(?:abc)?") == shown("abc|d") == shown("a.b.c") == shown("(?:abc)*") == []
+    assert shown("abc.*def") == shown("(?i:ABC)[0-9]{2}DEF") == [["abc"], ["def"]]
+    assert shown("ab(?:c|d)") == [["abc", "abd"]] and shown("abc?de") == [["abcbcdcde", "abdbde"]]
+    assert secrets.query_of(secrets.BASE[2]) == []
+    every = [secrets.Rule("new", r"npm_[A-Za-z0-9]+", 20)]
+    docs = documents(spark, ["see NPM_x and npm_" + "a1" * 20, "npm", None])
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.find_secrets(docs, every).collect()}
+    assert got == {0: [(14, 58)], 1: [], 2: []}
+    assert {r.doc_id for r in secrets.candidates(secrets.index(docs, every), every).collect()} == {0}
+
+
+def test_any_match_holds_its_query():
+    """Texts that match a rule, made from its pattern, hold what its derived query asks for."""
+    samples = {"assign": ["PassWord = 'abcdef'", "api_key:abcdef", "apikey=abcdef", "token \t=abcdef".replace("\t", " ")], "access": ["AKIA" + "A1" * 8], "key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----"], "vendor": ["ghs_" + "a" * 20, "xoxp-" + "1-" * 9, "sk_live_" + "z" * 20]}
+    for rule in secrets.RULES:
+        for text in samples.get(rule.kind, []):
+            assert re.search(rule.regex, text)
+            grams = set(secrets.trigrams(text.lower()))
+            assert all(any(s <= grams for s in clause) for clause in secrets.query_of(rule)), (rule, text)
+
+
+def test_many_matches_of_one_text(spark):
+    text = "token=abcdef " * 3000
+    got = secrets.find_secrets(documents(spark, [text])).first()
+    assert [(s.start, s.end) for s in got.spans] == [(13 * i, 13 * i + 12) for i in range(3000)]
