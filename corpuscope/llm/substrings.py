@@ -16,8 +16,11 @@ bucket at a time:
   which the multiples of 40 are a difference cover. The ranks of these cover samples to depth 160 are
   computed first, by sorting depth 40 and doubling. Suffixes are then ordered by bucket, offset and the
   rank of the sample that follows, and only ties by the 40 bytes which that rank leaves out.
-* Buckets with many distinct pieces are dealt to several tasks, each of which sorts the suffixes whose
-  leading bytes hash to it.
+* Buckets with many distinct pieces are split by more of what their suffixes have in common. The offsets of the
+  anchor fall into classes of close ones; all strings of a class hold the same longer stretch around the anchor, and equal
+  strings have equal stretches. So a piece is cut by classes, and each part goes to the one bucket of its stretch. Parts whose
+  bucket is still too large, because most of the string is shared, are settled string by string, counted by a hash.
+* A document is known by 128 bits of hashes of doc_id and text.
 
 Defined results: null text is empty. Repeated rows, and rows that share a doc_id, are documents of their own,
 and so copies of each other. Strings never cross documents. Extra columns are passed over.
@@ -37,8 +40,8 @@ from corpuscope.llm.common import materialize, release, small_batches
 
 LENGTH, GRAM, PERIOD = 200, 32, 40
 _REACH = LENGTH - GRAM
-#: Bytes hashed at once; bytes of pieces sorted at once; distinct pieces of a bucket that go to one task.
-BUFFER, BLOCK, PER_SALT = 1 << 18, 4 << 20, 20_000
+#: Bytes hashed at once; bytes of pieces sorted at once; distinct pieces of a bucket that is sorted as a whole; classes of offsets where it isn't.
+BUFFER, BLOCK, PER_SALT, CLASSES = 1 << 18, 2 << 20, 5_000, 8
 _U64 = np.uint64
 _TABLE = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, 256, _U64)
 _FACTORS = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 63, 5, _U64) * _U64(2) + _U64(1)
@@ -67,13 +70,13 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum(least[: len(least) - rest], least[rest:]) & _LOW).astype(np.int64), h
 
 
-_PIECE = "row long, anchor long, h1 long, h2 long, start long, n int, offset int"
+_PIECE = "row long, row2 long, anchor long, h1 long, h2 long, start long, n int, offset int"
 
 
 def _pieces(batches):
-    """Pieces of each document (row, text): place of the first start, number of starts, offset of the anchor."""
+    """Pieces of each document (row, row2, text): place of the first start, number of starts, offset of the anchor."""
     for batch in batches:
-        rows, texts = batch.column(0).to_pylist(), batch.column(1)
+        rows, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2)
         at = 0
         while at < len(rows):
             # documents are laid side by side; long ones are cut, where pieces may be cut too
@@ -111,34 +114,66 @@ def _pieces_of(parts: list) -> pa.RecordBatch:
     n = np.minimum(ends, begin[doc] + sizes[doc] - LENGTH + 1) - start
     digests = b"".join([xxhash.xxh3_128_digest(joined[s:e]) for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist())])
     two = np.frombuffer(digests, "<i8").reshape(-1, 2)
-    row = np.array([p[0] for p in parts], np.int64)[doc]
+    row, row2 = np.array([p[0] for p in parts], np.int64)[doc].T
     shift = np.array([p[1] for p in parts], np.int64)[doc] - last
-    columns = (row, h[place[start]].view(np.int64), two[:, 0], two[:, 1], start + shift, n.astype(np.int32), (place[start] - start).astype(np.int32))
+    columns = (row, row2, h[place[start]].view(np.int64), two[:, 0], two[:, 1], start + shift, n.astype(np.int32), (place[start] - start).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[f.split()[0] for f in _PIECE.split(", ")])
 
 
-_WANTED = "array<struct<anchor:bigint,n:int,offset:int,start:bigint,often:bigint,salts:int>>"
-_BYTES = "anchor long, salt int, salts int, row long, start long, n int, offset int, often long, data binary"
+_WANTED = "array<struct<anchor:bigint,n:int,offset:int,start:bigint,often:bigint,hot:boolean>>"
+_BYTES = "bucket long, row long, row2 long, start long, n int, offset int, often long, data binary"
 
 
-def _cut(batches):
-    """The bytes of the wanted pieces of each document (row, text, wanted), once for each salt."""
+def _batches(rows: list[tuple], size: int = 5000):
     names = [f.split()[0] for f in _BYTES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds, strict=True)], names)
+
+
+def _classed(anchor: int, start: int, n: int, offset: int, piece: bytes):
+    """(bucket, start, n, offset, data) of the parts of a piece whose anchor's offsets fall into one class: the bucket is a hash of the class and of the bytes that all its strings share."""
+    width = -(-(_REACH + 1) // CLASSES)
+    for c in range((offset - n + 1) // width, offset // width + 1):
+        low, high = c * width, min(c * width + width - 1, _REACH)
+        first, last = max(0, offset - high), min(n - 1, offset - low)  # starts of the piece, whose anchor's offset falls as they go on
+        core = piece[offset - low : offset - high + LENGTH]
+        bucket = xxhash.xxh3_64_intdigest(anchor.to_bytes(8, "little", signed=True) + bytes([c]) + core) - (1 << 63)
+        yield bucket, start + first, last - first + 1, offset - first, piece[first : last + LENGTH]
+
+
+def _cut(batches):
+    """The bytes of the wanted pieces of each document (row, row2, text, wanted); those of hot anchors by classes of offsets."""
     for batch in batches:
-        for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
-            out = [(w["anchor"], salt, w["salts"], row, w["start"], w["n"], w["offset"], w["often"], data[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in wanted.as_py() for salt in range(w["salts"])]
-            for i in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 5000]), kinds, strict=True)], names)
+        for row, row2, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            data, out = text.as_py().encode("utf-8", "surrogatepass"), []
+            for w in wanted.as_py():
+                piece = data[w["start"] : w["start"] + w["n"] + LENGTH - 1]
+                parts = _classed(w["anchor"], w["start"], w["n"], w["offset"], piece) if w["hot"] else [(w["anchor"], w["start"], w["n"], w["offset"], piece)]
+                out += [(bucket, row, row2, start, n, offset, w["often"], part) for bucket, start, n, offset, part in parts]
+                if len(out) >= 5000:
+                    yield from _batches(out)
+                    out = []
+            yield from _batches(out)
+
+
+def _strings(batches):
+    """Each string of the parts of buckets that are still too large, by 128 bits of its hash."""
+    names = ["h1", "h2", "row", "row2", "from", "often"]
+    for batch in batches:
+        for r in batch.to_pylist():
+            digests = b"".join(xxhash.xxh3_128_digest(r["data"][i : i + LENGTH]) for i in range(r["n"]))
+            two = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            columns = (two[:, 0], two[:, 1], np.full(r["n"], r["row"]), np.full(r["n"], r["row2"]), r["start"] + np.arange(r["n"]), np.full(r["n"], r["often"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
-def _repeated(rows: list[dict]) -> list[tuple[int, int, int]]:
-    """(row, first, end) of runs of starts, in pieces that occur once, whose string occurs in another piece of the block's buckets too."""
+def _repeated(rows: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(row, row2, first, end) of runs of starts, in pieces that occur once, whose string occurs in another piece of the block's buckets too."""
     text_size = PERIOD
     places = []
     for r in rows:
@@ -159,13 +194,7 @@ def _repeated(rows: list[dict]) -> list[tuple[int, int, int]]:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = np.array(places)[owner] + nth
     offset = np.array([r["offset"] for r in rows])[owner] - nth
-    bucket = _ranks(np.array([r["anchor"] for r in rows]))[owner]
-    salts = np.array([r["salts"] for r in rows])[owner]
-    if salts.max() > 1:
-        lead = sum(text[at + j].astype(_U64) << _U64(8 * j) for j in range(4)) + (offset.astype(_U64) << _U64(32))
-        lead = (lead ^ (lead >> _U64(31))) * _U64(0x94D049BB133111EB)
-        mine = (lead >> _U64(33)).astype(np.int64) % salts == np.array([r["salt"] for r in rows])[owner]
-        owner, at, offset, bucket = owner[mine], at[mine], offset[mine], bucket[mine]
+    bucket = _ranks(np.array([r["bucket"] for r in rows]))[owner]
     sample = -(-at // PERIOD)
     group = _ranks((bucket * (_REACH + 1) + offset) * np.int64(rank.max() + 1) + rank[sample])
     tied = np.bincount(group, minlength=1)[group] > 1
@@ -192,22 +221,22 @@ def _repeated(rows: list[dict]) -> list[tuple[int, int, int]]:
     out = []
     for a, b in zip(edge, end):
         r, base = rows[owner[a]], places[owner[a]]
-        out.append((r["row"], r["start"] + int(at[a]) - base, r["start"] + int(at[b]) - base + LENGTH))
+        out.append((r["row"], r["row2"], r["start"] + int(at[a]) - base, r["start"] + int(at[b]) - base + LENGTH))
     return out
 
 
 def _sort_blocks(batches):
-    """Rows sorted by (anchor, salt): whole buckets, in blocks of about BLOCK bytes."""
+    """Rows sorted by bucket: whole buckets, in blocks of about BLOCK bytes."""
 
     def flush(rows):
         found = _repeated(rows)
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["row", "from", "to"])
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["row", "row2", "from", "to"])
 
-    held, size, bucket, begun = [], 0, None, 0
+    held, size, bucket = [], 0, None
     for batch in batches:
         for r in batch.to_pylist():
-            if (r["anchor"], r["salt"]) != bucket:
-                bucket = (r["anchor"], r["salt"])
+            if r["bucket"] != bucket:
+                bucket = r["bucket"]
                 if size >= BLOCK:
                     yield flush(held)
                     held, size = [], 0
@@ -217,26 +246,44 @@ def _sort_blocks(batches):
         yield flush(held)
 
 
+def _keyed(docs: DataFrame) -> list[F.Column]:
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("row2"), "text", "doc_id").alias("row2")]
+
+
+_SPAN = "row long, row2 long, `from` long, `to` long"
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """row (the hash of doc_id and text), from, to: bytes covered by repeated strings; spans may overlap."""
+    """row, row2 (hashes of doc_id and text), from, to: bytes covered by repeated strings; spans may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where(F.octet_length("text") >= LENGTH)
+    keyed = docs.select(*_keyed(docs), "text").where(F.octet_length("text") >= LENGTH)
     pieces = materialize(keyed.mapInArrow(_pieces, _PIECE), "substrings-pieces")
-    often = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = materialize(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "substrings-anchors")
     met = materialize(pieces.join(often, "anchor", "left_semi"), "substrings-met")
     release(spark)
     key = ["anchor", "h1", "h2"]
-    distinct = materialize(met.groupBy(*key).agg(F.count("*").alias("often"), F.min(F.struct("row", "start", "n", "offset")).alias("at")), "substrings-distinct")
+    distinct = materialize(met.groupBy(*key).agg(F.count("*").alias("often"), F.min(F.struct("row", "row2", "start", "n", "offset")).alias("at")), "substrings-distinct")
     twice = distinct.where("often > 1").select(*key)
-    whole = met.join(twice, key, "left_semi").select("row", F.col("start").alias("from"), (F.col("start") + F.col("n") + LENGTH - 1).alias("to"))
+    whole = met.join(twice, key, "left_semi").select("row", "row2", F.col("start").alias("from"), (F.col("start") + F.col("n") + LENGTH - 1).alias("to"))
     several = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.min("often").alias("least")).where("m > 1 AND least = 1")
-    open_ = distinct.join(several.select("anchor", F.ceil(F.col("m") / PER_SALT).cast("int").alias("salts")), "anchor")
-    wanted = open_.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("anchor", F.col("at.n").alias("n"), F.col("at.offset").alias("offset"), F.col("at.start").alias("start"), "often", "salts")).cast(_WANTED).alias("wanted"))
+    several = materialize(several.select("anchor", (F.col("m") > PER_SALT).alias("hot")), "substrings-several")
+    open_ = distinct.join(several, "anchor")
+    one = F.struct("anchor", F.col("at.n").alias("n"), F.col("at.offset").alias("offset"), F.col("at.start").alias("start"), "often", "hot")
+    wanted = open_.groupBy(F.col("at.row").alias("row"), F.col("at.row2").alias("row2")).agg(F.collect_list(one).cast(_WANTED).alias("wanted"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    once = keyed.join(wanted, "row").mapInArrow(_cut, _BYTES)
-    sorted_ = once.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_sort_blocks, "row long, `from` long, `to` long")
-    out = materialize(whole.unionByName(sorted_), "substrings-spans")
+    cut = keyed.join(wanted, ["row", "row2"]).mapInArrow(_cut, _BYTES)
+    sort = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks, _SPAN)
+    if several.where("hot").isEmpty():
+        found = sort(cut)
+    else:
+        cut = materialize(cut, "substrings-parts")
+        large = materialize(cut.groupBy("bucket").count().where(F.col("count") > PER_SALT).select("bucket"), "substrings-large")
+        strings = cut.join(large, "bucket", "left_semi").mapInArrow(_strings, "h1 long, h2 long, row long, row2 long, `from` long, often long")
+        again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+        again = strings.where("often = 1").join(again, ["h1", "h2"], "left_semi").select("row", "row2", "from", (F.col("from") + LENGTH).alias("to"))
+        found = sort(cut.join(large, "bucket", "left_anti")).unionByName(again)
+    out = materialize(whole.unionByName(found), "substrings-spans")
     release(spark)
     return out
 
@@ -244,8 +291,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (disjoint ascending spans of bytes), kept_sha256, kept (the bytes that stay): a row for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeats(docs).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    joined = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").join(spans, "row", "left").select("doc_id", "text", "spans")
+    spans = repeats(docs).groupBy("row", "row2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    joined = docs.select(*_keyed(docs), "doc_id", "text").join(spans, ["row", "row2"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))

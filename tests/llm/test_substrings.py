@@ -67,3 +67,13 @@ def documents_text():
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(documents(spark, [])).collect() == []
+
+
+def test_a_hot_anchor_is_split(spark, store, prose, monkeypatch):
+    """Many documents share a line of 100 bytes, of 198 bytes or of 230 bytes in differing surroundings: one anchor, many distinct pieces."""
+    monkeypatch.setattr(substrings, "PER_SALT", 4)
+    line = prose(60, 1)
+    texts = [f"{prose(40, 10 + i)} {line[: (100, 198, 230)[i % 3]]} {prose(40, 100 + i)}" for i in range(40)]
+    texts += [texts[0][:250] + "!" + texts[0][251:], texts[2]]
+    got = registry.op4_repeated_strings(spark, store(documents=documents(spark, texts))).collect()
+    assert sorted(map(tuple, got)) == brute(texts)
