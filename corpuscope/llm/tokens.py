@@ -7,8 +7,8 @@ The rows are dealt by ranges of doc_id; each task encodes its range and writes o
 whole output is its offset plus the shard's base, a prefix sum over the shards' totals, which the
 manifest (a Parquet table beside the shards) holds. Reading maps the files into memory.
 
-Files appear by a rename after they are whole, with the same bytes at each attempt, so a task that
-runs again, or twice at once, does no harm.
+Ids are written as they are encoded, so a shard can be larger than a worker's memory. Files appear by a rename
+after they are whole, with the same bytes at each attempt, so a task that runs again, or twice at once, does no harm.
 
 Defined results: null text encodes as empty; each document ends with the end id, so an empty one has
 one id. Null doc_ids come first; repeated doc_ids are ordered by a hash of the text. An empty table gives no shard.
@@ -44,12 +44,23 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+class _Sink:
+    """A file that is written piece by piece under another name, and has its own once it is whole."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = _place(uri)
+        self.part = f"{self.path}.{uuid.uuid4().hex}"
+        self.out = self.store.open_output_stream(self.part)
+
+    def finish(self) -> None:
+        self.out.close()
+        self.store.move(self.part, self.path)
+
+
 def _put(uri: str, data: bytes) -> None:
-    store, path = _place(uri)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(data)
-    store.move(part, path)
+    sink = _Sink(uri)
+    sink.out.write(data)
+    sink.finish()
 
 
 def _map(uri: str, dtype: str) -> np.ndarray:
@@ -65,15 +76,17 @@ _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/
 #: Byte-level models write a byte that isn't printable in Latin 1 as a code point from U+0100 on, in order.
 _BYTES = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 _PROBES = ("the", "Words", "straße.", "Él,", "garçon!?", "x##", "ÿÀ;", "counterrevolutionaries-")
+#: Texts whose ids must be those of their parts between white space, or a tokenizer gets whole texts.
+_SPACED = ("two words", "  lead and  trail ", "a\tb\nc\r\nd", "Don't stop, 12 34.5 !", "naïve É ß\x0bx\x0cy", "日本 語 x", " ", "a b c " * 20, "e\u0301 \u0301 x", "<|endoftext|> x")
 
 
 class Encoder(dict):
     """Encodes whole texts; remembers the ids of words.
 
-    A text is cut at ASCII white space. With a tokenizer that drops white space and never joins
-    characters across it, as the word-level one here, the parts' ids are the text's ids. Words of Latin
-    letters with marks behind them go to the tokenizer's model directly, if probes show that this
-    gives the same ids; all others go through the whole tokenizer.
+    A text is cut at ASCII white space, if probes show that the tokenizer drops white space and never joins
+    characters across it, so that the parts' ids are the text's ids, as with the word-level one here; any other
+    tokenizer gets whole texts. Words of Latin letters with marks behind them go to the tokenizer's model
+    directly, if probes show that this gives the same ids; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
@@ -87,7 +100,9 @@ class Encoder(dict):
         self.code = np.dtype(dtype).char
         self.end = array(self.code, [end_id]).tobytes()
         self.model = self.tokenizer.model
-        self.direct = all(self._direct(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.parted = all(ids(t) == [i for part in t.encode().split() for i in ids(part.decode())] for t in _SPACED)
+        self.direct = self.parted and all(self._direct(_PLAIN.fullmatch(w)) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
 
     def _direct(self, parts: re.Match) -> list[int]:
         head, marks = parts.groups()
@@ -116,6 +131,8 @@ class Encoder(dict):
         if len(self) > CACHE_WORDS:
             self.before = dict(self)
             self.clear()
+        if not self.parted:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + self.end
         return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split())) + self.end  # bytes part at ASCII white space only
 
 
@@ -138,24 +155,27 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocab:
         from pyspark import TaskContext
 
         shard, encode = TaskContext.get().partitionId(), _encoder(tokenizer, end_id, dtype).encode
-        ids, lengths, doc_ids, nulls = [], [], [], []
+        name, sinks, n_docs, n_ids = f"{out}/{shard:06d}", None, 0, 0
         for batch in batches:
+            if sinks is None:
+                sinks = {kind: _Sink(f"{name}.{kind}") for kind in ("ids", "off", "doc", "nul")}
+                sinks["off"].out.write(np.zeros(1, "<u8").tobytes())
+            lengths = []
             for text in batch.column(1):
                 data = encode(text.as_py())
-                ids.append(data)
-                lengths.append(len(data))
+                sinks["ids"].out.write(data)
+                lengths.append(len(data) // np.dtype(dtype).itemsize)
+            offsets = n_ids + np.cumsum(lengths, dtype="<u8")
             column = batch.column(0).cast(pa.int64())
-            doc_ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-            nulls.append(column.is_null().to_numpy(zero_copy_only=False))
-        if not lengths:
+            sinks["off"].out.write(offsets.astype("<u8").tobytes())
+            sinks["doc"].out.write(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            sinks["nul"].out.write(column.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes())
+            n_docs, n_ids = n_docs + len(lengths), int(offsets[-1]) if len(lengths) else n_ids
+        if sinks is None:
             return
-        name = f"{out}/{shard:06d}"
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype="<u8")]) // np.dtype(dtype).itemsize
-        _put(f"{name}.ids", b"".join(ids))
-        _put(f"{name}.off", offsets.astype("<u8").tobytes())
-        _put(f"{name}.doc", np.concatenate(doc_ids).astype("<i8").tobytes())
-        _put(f"{name}.nul", np.concatenate(nulls).astype("u1").tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_ids": [int(offsets[-1])]})
+        for sink in sinks.values():
+            sink.finish()
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     store, path = _place(out)
     store.create_dir(path, recursive=True)

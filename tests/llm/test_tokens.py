@@ -51,3 +51,30 @@ def test_query_on_whole_texts(spark, store, prose):
     docs = documents(spark, [prose(50 + i, i) + "!?" * (i % 5) for i in range(60)])
     got = registry.op1_token_output(spark, store(documents=docs)).collect()
     assert [tuple(r) for r in sorted(got)] == expected([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_a_tokenizer_that_keeps_white_space_gets_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    texts = [t for t in HARD if t and len(t) < 1000] + ["two words  and\nlines\n"]
+    out = new_path(spark, "t")
+    tokens.write_tokens(documents(spark, texts), out, path, 50_256, 50_257)
+    got = {r.doc_id: r.ids for r in tokens.scan_tokens(spark, out, with_ids=True).collect()}
+    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 50_256] for i, t in enumerate(texts)}
+    assert not tokens.Encoder(path, 0, "<u2").parted and tokens.Encoder(registry.tokenizer_path(), 2, "<u2").direct
+
+
+def test_a_shard_is_written_piece_by_piece(spark, prose, monkeypatch):
+    """One shard over many Arrow batches."""
+    monkeypatch.setitem(__import__("corpuscope.llm.common", fromlist=["BATCH"]).BATCH, "spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [prose(5 + i % 9, i) for i in range(100)]
+    out = new_path(spark, "t")
+    tokens.write_tokens(documents(spark, texts), out, registry.tokenizer_path(), 2, 49_408, 1)
+    got = sorted((tuple(r) for r in tokens.scan_tokens(spark, out).collect()), key=lambda r: r[1])
+    assert got == expected(list(enumerate(texts)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
