@@ -13,6 +13,8 @@ all reported. A null item_id is reported as the string "null". Extra columns are
 from __future__ import annotations
 
 import functools
+import itertools
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,30 +104,37 @@ def search(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int,
 
 
 def _parts(benchmark: DataFrame, width: int, most: int):
-    """Lists of (item_id, text) rows, each of a bounded number of window words."""
-    part, held = [], 0
+    """Lists of (item_id, text) rows, each of a bounded number of window words, one at a time; a list without rows if there is none."""
+    part, held, any_before = [], 0, False
     for row in benchmark.select("item_id", "text").toLocalIterator():
         part.append((row[0], row[1]))
         held += width * (len(row[1] or "") // 2 + 1)
         if held >= most * 4:
             yield part
-            part, held = [], 0
-    if part:
+            part, held, any_before = [], 0, True
+    if part or not any_before:
         yield part
 
 
-def _broadcast_parts(benchmark: DataFrame, width: int, most: int) -> list:
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(part) for part in _parts(benchmark, width, most)] or [sc.broadcast([])]
+_built: dict[str, list[WuManber]] = {}
+
+
+def _tables(name: str, sent, width: int) -> list[WuManber]:
+    """The matchers of a part, which a worker builds once for all its tasks; it holds those of one part only."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = matchers(sent.value, width)
+    return _built[name]
 
 
 def _pass(docs: DataFrame, sent, width: int) -> DataFrame:
     small_batches(docs.sparkSession)
+    name = uuid.uuid4().hex
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
-        tables = matchers(sent.value, width)
+        tables = _tables(name, sent, width)
         for batch in batches:
             counts, hits, items = [], [], []
             for text in batch.column(at):
@@ -147,14 +156,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, w
     """doc_id, n_words, hits (disjoint spans of word positions), items (sorted as strings): one row for each row of docs.
 
     The benchmark is streamed to the driver in parts of a bounded number of window words; each part
-    is broadcast and searched in one pass. With more than one part, hits of the passes are united by document row.
+    is broadcast, searched in one pass and given up before the next one comes. With more than one part, hits of the passes are united by document row.
     """
     docs = docs.select("doc_id", "text")
-    parts = _broadcast_parts(benchmark, width, words_per_pass)
-    if len(parts) == 1:
-        return _pass(docs, parts[0], width)
+    sc = docs.sparkSession.sparkContext
+    parts = _parts(benchmark, width, words_per_pass)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _pass(docs, sc.broadcast(first), width)
     keyed = materialize(docs.withColumn("row_key", F.expr("uuid()")), "decontaminate-docs")
-    every = functools.reduce(DataFrame.unionByName, [_pass(keyed, part, width) for part in parts])
+    passes = []
+    for part in itertools.chain((first, second), parts):
+        sent = sc.broadcast(part)
+        passes.append(materialize(_pass(keyed, sent, width), "decontaminate-hits"))
+        sent.destroy()
+    every = functools.reduce(DataFrame.unionByName, passes)
     merged = every.groupBy("row_key").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
@@ -171,13 +187,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, w
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, words_per_pass: int = WINDOW_WORDS_PER_PASS) -> DataFrame:
-    """docs without the rows that hold any window of the benchmark; columns and other rows are untouched."""
+    """docs without the rows that hold any window of the benchmark; columns and other rows are untouched. Each part of the benchmark is given up before the next one comes."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for sent in _broadcast_parts(benchmark, width, words_per_pass):
-
-        def run(batches, sent=sent):
-            tables = matchers(sent.value, width)
+    sc = docs.sparkSession.sparkContext
+    parts = _parts(benchmark, width, words_per_pass)
+    part = next(parts)
+    while part is not None:
+        sent = sc.broadcast(part)
+
+        def run(batches, sent=sent, name=uuid.uuid4().hex):
+            tables = _tables(name, sent, width)
             for batch in batches:
                 clean = []
                 for text in batch.column(at):
@@ -185,5 +205,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, wo
                     clean.append(not any(next(t.find(words), None) for t in tables))
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, part = docs.mapInArrow(run, docs.schema), next(parts, None)
+        if part is not None:
+            docs = materialize(docs, "decontaminate-docs")
+            sent.destroy()
     return docs
