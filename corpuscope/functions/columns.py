@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,11 +47,15 @@ def character_value(character: Name, lang: Name) -> Column:
 
 
 def mean_character_value(text: Name, lang: Name) -> Column:
-    """Mean character value over a text; NaN for an empty one. Characters are counted first, so long texts need no more lookups than their alphabet."""
-    chars = F.split(_c(text), "")
-    chars = F.filter(chars, lambda c: c != "")
-    total = F.aggregate(chars, F.lit(0.0), lambda a, c: a + character_value(c, lang))
-    return F.when(F.char_length(_c(text)) == 0, F.lit(float("nan"))).otherwise(total / F.char_length(_c(text)))
+    """Mean character value over a text; NaN for an empty one. Each letter of the table is counted by what the text loses without it, and its count weighed; all other characters have one value."""
+    t = _c(text)
+    size = F.char_length(t)
+    total = F.when(F.lit(False), F.lit(0.0))
+    for name, table in TABLES.items():
+        other = 0.1 / len(table)
+        known = functools.reduce(lambda a, b: a + b, [(size - F.char_length(F.replace(t, F.lit(c), F.lit("")))) * F.lit(v) for c, v in sorted(table.items())])
+        total = total.when(_c(lang) == name, known + F.char_length(F.translate(t, "".join(table), "")) * F.lit(other))
+    return F.when(size == 0, F.lit(float("nan"))).otherwise(total.otherwise(size * F.lit(FALLBACK)) / size)
 
 
 def starts_with_wildcard(pattern: Name) -> Column:

@@ -15,14 +15,18 @@ def deduplicate(rows: DataFrame, key: str, time: str = "procTime", tie: str = "i
     """One row for each key: its fastest, with the time replaced by the group's median.
 
     The median of up to two is their mean, else the element at ceil(n / 2) from 0 in ascending order. Ranks
-    over (key, time, tie) find both rows, so no group is gathered anywhere.
+    over (key, time, tie) name the places of both rows, so no group is gathered anywhere, and one join fetches them.
     """
     ranked = with_rank(rows, [key, time, tie], "__rank")
     groups = ranked.groupBy(key).agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"), F.avg(time).alias("__mean"))
-    groups = groups.withColumn("__at", F.col("__first") + F.when(F.col("__n") > 2, F.ceil(F.col("__n") / 2)).otherwise(0))
-    at = ranked.select(F.col("__rank").alias("__at"), F.col(time).alias("__median"))
-    groups = groups.join(at, "__at").select("__first", F.when(F.col("__n") <= 2, F.col("__mean")).otherwise(F.col("__median")).alias("__median"))
-    return ranked.join(groups, F.col("__rank") == F.col("__first")).withColumn(time, F.col("__median")).select(*rows.columns)
+    at = F.col("__first") + F.when(F.col("__n") > 2, F.ceil(F.col("__n") / 2)).otherwise(0)
+    places = F.array(*[F.struct(F.lit(i).alias("role"), place.cast("long").alias("rank")) for i, place in enumerate((F.col("__first"), at))])
+    wanted = groups.select("__first", "__n", "__mean", F.explode(places).alias("__p")).select("__first", "__n", "__mean", "__p.role", F.col("__p.rank").alias("__rank"))
+    found = wanted.join(ranked, "__rank")
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    picked = found.groupBy("__first").agg(F.max(F.when(F.col("role") == 1, F.col(time))).alias("__median"), F.first(F.when(F.col("role") == 0, row), ignorenulls=True).alias("__row"), F.first("__n").alias("__n"), F.first("__mean").alias("__mean"))
+    median = F.when(F.col("__n") <= 2, F.col("__mean")).otherwise(F.col("__median"))
+    return picked.select(*[median.alias(c) if c == time else F.col(f"__row.{c}").alias(c) for c in rows.columns])
 
 
 def capped(rows: DataFrame, time: str = "procTime", cap: float = CAP) -> DataFrame:

@@ -84,8 +84,8 @@ def measure(rows: DataFrame, corpora: DataFrame, client: Callable[[str, str], fl
     return ready.mapInPandas(run, ready.schema).drop("cql")
 
 
-def http_client(base: str) -> Callable[[str, str], float]:
-    """Asks GET <base>/concordance/<corpus>?q=<cql> and returns the seconds it took; other answers than 200 are errors."""
+def http_client(base: str, timeout: float = 600.0) -> Callable[[str, str], float]:
+    """Asks GET <base>/concordance/<corpus>?q=<cql> and returns the seconds it took; other answers than 200, and none within timeout seconds, are errors."""
 
     def ask(corpus: str, cql: str) -> float:
         import time
@@ -93,7 +93,7 @@ def http_client(base: str) -> Callable[[str, str], float]:
         from urllib.request import urlopen
 
         began = time.monotonic()
-        with urlopen(f"{base.rstrip('/')}/concordance/{quote(corpus)}?{urlencode({'q': cql})}") as answer:
+        with urlopen(f"{base.rstrip('/')}/concordance/{quote(corpus)}?{urlencode({'q': cql})}", timeout=timeout) as answer:
             answer.read()
             if answer.status != 200:
                 raise RuntimeError(f"answer {answer.status}")

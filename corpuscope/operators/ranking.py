@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.sources.scratch import written
+
+#: Bits of Spark's row ids below the number of the partition.
+_WITHIN = 33
+
 
 def with_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """df with each row's place (from 0) in the ascending order of the columns.
 
-    Cut points from a bounded sample deal the rows to intervals of the order; ranks are a prefix sum over the
-    intervals' counts plus the place within the interval. A good order has no ties; rows of a tie get any of their places.
+    Rows are dealt to ranges of the order, sorted there and written once; df is evaluated twice, to sample the ranges and to
+    deal. A rank is the place within the range plus the count of the ranges before, of which there is one for each shuffle
+    partition. A good order has no ties; rows of a tie get any of their places, and one tie stays in one range.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    total = df.count()
-    share = min(1.0, 64 * n / max(1, total))
-    sample = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < int(1e6 * share)).distinct().orderBy(*order).limit(1000 * n).collect()
-    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) >= n else sample
-    fields = {f.name: f.dataType for f in df.schema}
-    literal = lambda row: F.struct(*[F.lit(v).cast(fields[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(order, row, strict=True))])
-    part = F.size(F.filter(F.array(*map(literal, cuts)), lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
-    dealt = df.withColumn("__key", key).withColumn("__part", part)
-    counts = dealt.groupBy("__part").count()
-    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each interval
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    held = written(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__id", _WITHIN).cast("int")
+    counts = held.groupBy(part.alias("__part")).count()
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     bases = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__own", own).join(bases, "__part").withColumn(name, F.col("__base") + F.col("__own")).drop("__key", "__part", "__own", "__base")
+    own = F.col("__id").bitwiseAND(F.lit((1 << _WITHIN) - 1))
+    joined = held.withColumn("__part", part).join(F.broadcast(bases), "__part")  # as many rows as shuffle partitions
+    return joined.select(*df.columns, (F.col("__base") + own).alias(name))
