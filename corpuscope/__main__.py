@@ -30,6 +30,8 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("config"), one.add_argument("log"), one.add_argument("server"), one.add_argument("out"), one.add_argument("--corpora", default=""), one.add_argument("--batch-size", type=int, default=0), one.add_argument("--batch-offset", type=int, default=0)
     one = verbs.add_parser("repl", help="ask a model about queries one by one")
     one.add_argument("config"), one.add_argument("model")
+    one = verbs.add_parser("serve", help="answer requests (JSONL) by the ensemble of the settings")
+    one.add_argument("config"), one.add_argument("requests"), one.add_argument("out")
     return top
 
 
@@ -71,6 +73,13 @@ def main(argv: list[str] | None = None) -> int:
         rows = normalize.missing(logs.read_query_log(spark, args.log), [c for c in args.corpora.split(",") if c])
         batch = normalize.batch(rows, args.batch_offset, args.batch_size)
         logs.write_json_lines(normalize.measure(batch, config.corpora_frame(spark), normalize.http_client(args.server)), args.out)
+    elif args.verb == "serve":
+        from corpuscope.plans import serving
+        from corpuscope.streaming.monitoring import REQUESTS
+
+        ensemble = models.load_ensemble(spark, config.models)
+        requests = spark.read.schema(REQUESTS).json(args.requests)
+        serving.response(serving.evaluate_queries(requests, ensemble, config.corpora_frame(spark))).select("q", "corpus", "status", "response").write.json(args.out)
     elif args.verb == "repl":
         return repl(spark, models.load(spark, args.model), sys.stdin)
     return 0
@@ -81,16 +90,24 @@ def _corpora_of(server: str):
         import json
         from urllib.request import urlopen
 
-        with urlopen(f"{server.rstrip('/')}/corplist") as answer:
+        with urlopen(f"{server.rstrip('/')}/corplist", timeout=60) as answer:
             held = json.load(answer)
         return [c if isinstance(c, str) else c.get("id") or c.get("corpname") for c in (held.get("corpora", held) if isinstance(held, dict) else held)]
 
     return fetch
 
 
+def _features(found: dict) -> str:
+    """The features of a query's positions and of the whole query, in one line."""
+    positions = [f"[{p['index']}] wildcards={p['regexp']['wildcardScore']:.2f}, range={p['regexp']['hasRange']}, smallCard={p['hasSmallCardAttr']}, concreteChars={p['regexp']['numConcreteChars']:.2f}, alternatives={p['numAlternatives']}" for p in found["positions"]]
+    whole = f"glob={found['numGlobConditions']}, meet={found['containsMeet']}, union={found['containsUnion']}, within={found['containsWithin']}, containing={found['containsContaining']}"
+    return "; ".join([*positions, whole])
+
+
 def repl(spark: SparkSession, model, lines) -> int:
     """Queries and `set corpussize|vote|lang <value>`, `setup`, `exit`, line by line."""
     from corpuscope import schemas
+    from corpuscope.cql.batch import evaluated
     from corpuscope.plans.serving import evaluate_queries
 
     size, lang = 6_400_000_000, "cs"
@@ -113,7 +130,7 @@ def repl(spark: SparkSession, model, lines) -> int:
         else:
             request = spark.createDataFrame([(line, None, size, lang)], "q string, corpus string, corpusSize long, lang string")
             answer = evaluate_queries(request, [(model.kind, model)], spark.createDataFrame([], schemas.CORPORA)).first()
-            print(answer["error"] or ("slow" if answer["isSlowQuery"] else "fast") + f" {[round(v, 2) for v in answer['votes'][0]['votes']]}")
+            print(answer["error"] or ("slow" if answer["isSlowQuery"] else "fast") + f" {[round(v, 2) for v in answer['votes'][0]['votes']]}; " + _features(evaluated(line, lang)))
     return 0
 
 

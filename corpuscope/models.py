@@ -39,7 +39,9 @@ class Model(ABC):
         return self.votes(rows).withColumn("predicted_class", (F.col("votes")[1] > self.threshold).cast("int"))
 
     def save(self, path: str) -> None:
-        self.fitted.write().overwrite().save(f"{path}/model")
+        """Settings, and beside them the fitted model; models that don't learn have settings only."""
+        if self.fitted is not None:
+            self.fitted.write().overwrite().save(f"{path}/model")
         session = SparkSession.getActiveSession()
         session.createDataFrame([(json.dumps({"kind": self.kind, "threshold": self.threshold, "slow_time": self.slow_time} | self.more()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
@@ -65,7 +67,7 @@ class Network(Model):
 
     kind = "nn"
 
-    def __init__(self, threshold: float = 0.5, epochs: int = 100, copies: int = 4, seed: int = 0):
+    def __init__(self, threshold: float = 0.5, epochs: int = 800, copies: int = 4, seed: int = 0):
         super().__init__(threshold)
         self.epochs, self.copies, self.seed, self.ranges = epochs, copies, seed, []
 
@@ -91,7 +93,7 @@ class Network(Model):
 class Boosted(Model):
     kind = "xg"
 
-    def __init__(self, threshold: float = 0.5, rounds: int = 60, depth: int = 6, rate: float = 0.05, seed: int = 0):
+    def __init__(self, threshold: float = 0.5, rounds: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 0):
         super().__init__(threshold)
         self.rounds, self.depth, self.rate, self.seed = rounds, depth, rate, seed
 
@@ -128,7 +130,7 @@ class Nothing(Model):
 
 
 class LinearScore(Model):
-    """A fixed linear model of cost as a vote: the logistic function of the cost."""
+    """A fixed linear model of cost as a vote: the logistic function of the cost. It isn't saved as a model; its coefficients have a file of their own."""
 
     kind = "linear"
 
@@ -162,10 +164,27 @@ def load(spark: SparkSession, path: str, threshold: float | None = None) -> Mode
     model.slow_time = held["slow_time"]
     if "ranges" in held:
         model.ranges = [tuple(r) for r in held["ranges"]]
-    model.fitted = _FITTED[held["kind"]].load(f"{path}/model")
+    if held["kind"] in _FITTED:
+        model.fitted = _FITTED[held["kind"]].load(f"{path}/model")
     return model
 
 
+def load_ensemble(spark: SparkSession, members: list[dict]) -> list[tuple[str, Model]]:
+    """The enabled members of an ensemble's settings (modelPath, modelType, voteThreshold, disabled), each with the settings' threshold; constant models need no path. A path of another type than the settings say is an error."""
+    out = []
+    for m in members:
+        if m.get("disabled"):
+            continue
+        kind, path, threshold = m.get("modelType"), m.get("modelPath"), float(m.get("voteThreshold") or 0.0)
+        model = load(spark, path, threshold) if path else create(kind, threshold)
+        if not path and kind in _FITTED:
+            raise ValueError(f"a model of kind {kind!r} needs a modelPath")
+        if kind and model.kind != kind:
+            raise ValueError(f"{path} holds a model of kind {model.kind!r}, not {kind!r}")
+        out.append((path or kind, model))
+    return out
+
+
 def pr_auc(scored: DataFrame) -> float:
     rows = scored.select(F.col("votes")[1].alias("rawPrediction"), F.col("label").cast("double").alias("label"))
     return BinaryClassificationEvaluator(metricName="areaUnderPR").evaluate(rows)

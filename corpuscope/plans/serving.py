@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.columns import feature_vector, log_scaled
-from corpuscope.functions.cql import cql_parse
+from corpuscope.functions.columns import feature_vector, log_scaled, simple_query
 from corpuscope.models import Model
 from corpuscope.operators import voting
+from corpuscope.plans.featurize import parsed
 
 DEFAULT_SIZE = 1_000_000_000
 
@@ -30,8 +30,7 @@ def resolve(requests: DataFrame, corpora: DataFrame) -> DataFrame:
 def evaluate_queries(requests: DataFrame, models: list[tuple[str, Model]], corpora: DataFrame) -> DataFrame:
     """requests with status, error, votes, isSlowQuery and altCorpus. A query that can't be parsed has status 500."""
     rows = resolve(requests, corpora)
-    parsed = cql_parse(F.coalesce("q", F.lit("")), "lang")
-    rows = rows.withColumn("__p", parsed)
+    rows = parsed(rows.withColumn("__text", F.coalesce("q", F.lit(""))), "__text", "lang").drop("__text")
     failed = (F.col("status") == 200) & F.col("__p.error").isNotNull()
     rows = rows.withColumn("error", F.when(failed, F.col("__p.error")).otherwise(F.col("error"))).withColumn("status", F.when(failed, 500).otherwise(F.col("status")))
     names = ("positions", "numGlobConditions", "containsMeet", "containsUnion", "containsWithin", "adhocSubcorpus", "containsContaining", "alignedPart")
@@ -49,6 +48,11 @@ def evaluate_queries(requests: DataFrame, models: list[tuple[str, Model]], corpo
     return held.withColumn("isSlowQuery", slow).drop("features", *[f"__{k}{i}" for i in range(len(models)) for k in "vc"])
 
 
+def evaluate_simple(requests: DataFrame, models: list[tuple[str, Model]], corpora: DataFrame, strict: bool = True) -> DataFrame:
+    """Answers to plain values (attributes, value, corpus, corpusSize, lang): the query that simple_query builds of each, evaluated. strict: as the first implementation builds it, which no grammar accepts, so all answers are errors."""
+    return evaluate_queries(requests.withColumn("q", simple_query("attributes", F.col("value"), strict)), models, corpora)
+
+
 def response(answers: DataFrame) -> DataFrame:
     """The answers as JSON."""
     return answers.withColumn("response", F.when(F.col("status") == 200, F.to_json(F.struct("isSlowQuery", "votes", "altCorpus"))).otherwise(F.to_json(F.struct("error"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -31,13 +32,18 @@ def obligatory(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(OBLIGATORY, schemas.QUERY_LOG)
 
 
-def read_query_log(spark: SparkSession, path: str, with_obligatory: bool = True) -> DataFrame:
-    """A JSONL log, with line_no in the order of the lines. Blank and malformed lines are passed over; the obligatory examples stand at the end."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+def log_rows(lines: DataFrame) -> DataFrame:
+    """Rows of a log from its lines (value), for tables and streams: blank and malformed lines go, too long a line is an error. Other columns stay."""
+    keep = [c for c in lines.columns if c != "value"]
     value = F.when(F.octet_length("value") > MAX_LINE, F.raise_error(F.lit("a line of the log is too long")).cast("string")).otherwise(F.col("value"))
-    lines = lines.select("line_no", value.alias("value")).where(F.trim("value") != "")
+    lines = lines.select(*keep, value.alias("value")).where(F.trim("value") != "")
     parsed = F.from_json("value", f"{schemas.QUERY_LOG}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = lines.select("line_no", parsed.alias("r")).where("r IS NOT NULL AND r._bad IS NULL").select("line_no", "r.*").drop("_bad")
+    return lines.select(*keep, parsed.alias("r")).where("r IS NOT NULL AND r._bad IS NULL").select(*keep, "r.*").drop("_bad")
+
+
+def read_query_log(spark: SparkSession, path: str, with_obligatory: bool = True) -> DataFrame:
+    """A JSONL log, with line_no in the order of the lines. Blank and malformed lines are passed over; the obligatory examples stand at the end."""
+    rows = log_rows(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
     if with_obligatory:
         last = F.lit(1 << 62) + F.monotonically_increasing_id()
         rows = rows.unionByName(obligatory(spark).withColumn("line_no", last))
@@ -141,6 +147,20 @@ def list_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "modificationTime").orderBy(F.desc("modificationTime"), "name")
 
 
+def save_prompt(folder: str, content: str, name: str = "", date: str | None = None) -> str:
+    """Saves a prompt under its dated name and returns that; an empty one is an error. A folder beside the driver, as prompts are small texts."""
+    if not content:
+        raise ValueError("a prompt can't be empty")
+    held = prompt_name(name, date or datetime.date.today().isoformat())
+    (Path(folder) / held).write_text(content)
+    return held
+
+
+def load_prompt(folder: str, name: str = "sysprompt.txt") -> str:
+    """A saved prompt, or the default one."""
+    return (Path(folder) / name).read_text()
+
+
 def prompt_name(name: str, date: str) -> str:
     """The file name under which a prompt is saved on a date (yyyy-mm-dd)."""
     return f"{name or 'update'}.{date}.txt"

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuscope import schemas
 from corpuscope.plans.serving import evaluate_queries, vote_reports
-from corpuscope.sources.logs import zeros
+from corpuscope.sources.logs import log_rows, zeros
 
 REQUESTS = "q string, corpus string, corpusSize long, lang string"
 
 
 def stream_query_log(spark: SparkSession, folder: str) -> DataFrame:
-    """JSONL files as they arrive in a folder, as log rows."""
-    return zeros(spark.readStream.schema(schemas.QUERY_LOG).option("mode", "DROPMALFORMED").json(folder))
+    """JSONL files as they arrive in a folder, as log rows, by the rules of a log that is read whole."""
+    return zeros(log_rows(spark.readStream.text(folder)))
 
 
 def answer_stream(requests: DataFrame, models, corpora: DataFrame, reports_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
