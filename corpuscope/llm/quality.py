@@ -21,10 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import SPACES, materialize, picked
+from corpuscope.llm.common import materialize, picked
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: Shares that the rules use; each needs n_words > 0.
 FEATURES = {
     "symbol_share": "n_symbols / word_chars",
@@ -40,10 +40,6 @@ FEATURES = {
 MAX_TRAIN, CUTS, MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_COVER = 20_000, 24, 8, 3, 0.97, 0.01
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -69,24 +65,25 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("words")
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - WINDOW + 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    window = lambda own: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(WINDOW)]))
+    hashes = F.when(n >= WINDOW, _let(F.transform("words", lambda w: F.xxhash64(w)), window)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("doc_id", "text", words.alias("words"), lines.alias("lines")).withColumn("hashes", hashes)
     repeat = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered(F.col("hashes"))).otherwise(0)
-    size = F.char_length("text")
+    count = lambda chars: F.regexp_count("text", F.lit(chars))
     long = lambda c, name: c.cast("long").alias(name)
     return rows.select(
         "doc_id",
         long(n, "n_words"),
-        long(_without(F.col("text"), SPACES), "word_chars"),
-        long(size - _without(F.col("text"), SYMBOLS), "n_symbols"),
+        long(F.char_length(F.array_join("words", "")), "word_chars"),
+        long(count(SYMBOLS), "n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         long(repeat, "n_repeat_words"),
         long(F.size("lines"), "n_lines"),
-        long(size - _without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÁÍÓÚÑ"), "n_upper"),
-        long(size - _without(F.col("text"), "0123456789"), "n_digits"),
-        long(size - _without(F.col("text"), "!?;:=_@/\\{}[]()~^"), "n_marks"),
+        long(count("[A-ZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÁÍÓÚÑ]"), "n_upper"),
+        long(count("[0-9]"), "n_digits"),
+        long(count(r"[!?;:=_@/\\{}\[\]()~^]"), "n_marks"),
     )
 
 
