@@ -80,4 +80,37 @@ before AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0)
 kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(h[2 * last + 1 : 2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1 :] AS h FROM before JOIN d USING (r) GROUP BY r)
 SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
-SQL = {"op4_repeated_strings": REPEATED_STRINGS, "op2_source_mixing": SOURCE_MIXING, "op5_lm_scores": LM_SCORES, "op9_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES}
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either_case("api") + "_?" + _either_case("key")
+#: Kinds of secrets in order: name, pattern, group whose length counts, least length.
+_SECRETS = (
+    ("assign", rf"(?:{_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 3, 6),
+    ("access", r"AKIA[A-Z0-9]+", 2, 20),
+    ("hex", r"[0-9a-f]+", 2, 24),
+    ("key", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", 2, 0),
+    ("vendor", r"(?:gh[pousr]_[A-Za-z0-9]+|xox[abprs]-[A-Za-z0-9-]+|sk_live_[A-Za-z0-9]+)", 2, 20),
+)
+
+
+def _matches(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """All matches of a kind, each with what stands before it: their lengths, summed up, give the places."""
+    whole = f"'(?s)(.*?)({pattern}|\\z)'"
+    parts = f"SELECT r, unnest(range(len(g))) AS i, unnest(g) AS g, unnest(h) AS h, unnest(c) AS c FROM (SELECT r, regexp_extract_all(t, {whole}, 1) AS g, regexp_extract_all(t, {whole}, 2) AS h, regexp_extract_all(t, {whole}, {group}) AS c FROM d)"
+    placed = f"SELECT *, sum(length(g) + length(h)) OVER (PARTITION BY r ORDER BY i) AS b FROM ({parts})"
+    return f"SELECT r, {number} AS k, '{kind}' AS kind, b - length(h) AS a, b FROM ({placed}) WHERE length(h) > 0 AND length(c) >= {least}"
+
+
+#: op3: each rule's leftmost matches that don't overlap, by plain extraction from every text.
+SECRET_SCAN = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_matches(i, *s) for i, s in enumerate(_SECRETS))}),
+s AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+ coalesce(string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, k) FILTER (k < 3), '') AS base, string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, k) AS spans FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""
+
+SQL = {"op3_secret_scan": SECRET_SCAN, "op4_repeated_strings": REPEATED_STRINGS, "op2_source_mixing": SOURCE_MIXING, "op5_lm_scores": LM_SCORES, "op9_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES}

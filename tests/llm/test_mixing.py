@@ -80,3 +80,24 @@ def test_empty_and_wordless(spark):
     assert mixing.taken_words(documents(spark, [])).collect() == []
     got = mixing.taken_words(documents(spark, [None, ""], source=[None, "a"])).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_mixed_documents_equal_sql(spark, rows, tmp_path):
+    """What the pipeline's stage gives, against the query's SQL over the same documents: the first words of each, in whole passes and one part."""
+    import duckdb
+
+    from corpuscope.llm import oracles
+
+    texts, source = rows
+    docs = documents(spark, texts, source=source)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    at = con.sql(oracles.SOURCE_MIXING).columns
+    taken = {r[at.index("doc_id")]: r[at.index("taken")] for r in con.sql(oracles.SOURCE_MIXING).fetchall()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in enumerate(texts)}
+    got = defaultdict(list)
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id].append(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert {k: sum(map(len, v)) for k, v in got.items()} == {k: n for k, n in taken.items() if n}
+    assert all(part == words[k][: len(part)] for k, parts in got.items() for part in parts)
