@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import gc
 import re
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that part words in all contracts: space and tab to carriage return.
-SPACES = " \t\n\x0b\f\r"
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="corpuscope-")
+from corpuscope.sources.scratch import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run on this machine (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return found or _own_dir()
+#: Words in all contracts: what stands between spaces and the characters from tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
