@@ -68,10 +68,20 @@ def new_name(df: DataFrame, base: str) -> str:
     return next(n for n in (f"__{base}{i or ''}" for i in range(len(taken) + 1)) if n not in taken)
 
 
-def picked(key: F.Column | str, n: int, most: int) -> F.Column:
-    """Whether a row belongs to a sample of about most of n rows, by the hash of its key. The share is compared in 2**-62 steps, so it can't fall to nothing."""
-    share = max(1, (most << 62) // max(n, 1))
-    return F.pmod(F.xxhash64(key), F.lit(1 << 62)) < F.lit(min(share, 1 << 62))
+def place_of(*key: F.Column | str) -> F.Column:
+    """Where the hash of a key stands in 2**62 steps: rows below a share of these steps are a sample."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 62))
+
+
+def share_of(n: int, most: int, least: int | None = None) -> int:
+    """The steps below which about most of n rows stand. least: where the first row stands, which always belongs to the sample; so it isn't empty, however large n, and whichever rows are copies of each other."""
+    return min(1 << 62, max(1, (most << 62) // max(n, 1), -1 if least is None else least + 1))
+
+
+def picked(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """A sample of about most of the rows, by the hash of their key; at least those of one key, if there are rows."""
+    n, least = rows.agg(F.count("*"), F.min(place_of(*key))).first()
+    return rows.where(place_of(*key) < share_of(n, most, least)) if n > most else rows
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

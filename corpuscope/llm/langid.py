@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import small_batches
+from corpuscope.llm.common import place_of, share_of, small_batches
 
 #: Families by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -107,23 +107,24 @@ def _chance(margin: float) -> float:
     return float(1.0 / (1.0 + np.exp(-4.0 * margin)))
 
 
-def shares(counts: dict[str, int], max_train: int) -> dict[str, int]:
-    """What part of each language's rows is learned from, in 2**-62 steps. Languages get equal parts of max_train; what one lacks goes to those with more."""
+def shares(counts: dict[str, int], max_train: int, least: dict[str, int] | None = None) -> dict[str, int]:
+    """What part of each language's rows is learned from, in steps of share_of. Languages get equal parts of max_train; what one lacks goes to those with more. least: where each language's first row stands."""
     out, left = {}, max_train
     for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
         quota = max(1, min(n, left // (len(counts) - i)))
-        out[lang], left = max(1, (quota << 62) // n), max(0, left - quota)
+        out[lang], left = share_of(n, quota, least and least[lang]), max(0, left - quota)
     return out
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None:
     """Learns from text and lang of rows with both, where text has a letter: of about max_train rows at most, in equal parts by language, picked by the hash of doc_id and text."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = dict(map(tuple, labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()))
+    place = place_of("doc_id", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return None
-    part = F.create_map(*[F.lit(x) for pair in shares(counts, max_train).items() for x in pair])
-    labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.try_element_at(part, F.col("lang")))
+    part = shares({r["lang"]: r["n"] for r in counts}, max_train, {r["lang"]: r["least"] for r in counts})
+    labelled = labelled.where(place < F.try_element_at(F.create_map(*[F.lit(x) for pair in part.items() for x in pair]), F.col("lang")))
     small_batches(labelled.sparkSession)
 
     def vectors(batches):
@@ -133,8 +134,6 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | None
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
     rows = labelled.mapInArrow(vectors, "doc_id long, lang string, x binary").limit(2 * max_train + len(counts)).collect()
-    if not rows:
-        raise RuntimeError("no labelled row was picked to learn from")
     rows = sorted((r for r in rows if r["x"]), key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["lang"], r["x"]))
     if not rows:
         return None

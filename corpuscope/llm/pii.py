@@ -263,12 +263,9 @@ def _learn(tokens: list[list[int]], labels: np.ndarray, pairs: list[dict[tuple[i
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_tokens: int = MAX_TOKENS) -> SkipChain | None:
     """Learns from what the base patterns find in about max_train documents with a digit or `@`, picked by the hash of doc_id and text.
 
-    All edges of these documents are counted by label; of their tokens about max_tokens at most are learned from, picked by the hash of document and place.
+    All edges of these documents are counted by label; of their tokens, those of copies once, about max_tokens at most are learned from, picked by the hash of document and place.
     """
     hinted = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    n = hinted.count()
-    if not n:
-        return None
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -287,13 +284,11 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_tokens: int = MAX_TOKEN
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int32()))], ["kind", "key", "value"])
 
     key = F.shiftright(F.xxhash64("doc_id", "text"), 1).alias("key")
-    rows = hinted.where(picked(F.xxhash64("doc_id", "text"), n, max_train)).select(key, "text").mapInArrow(run, "kind int, key long, value array<int>")
+    rows = picked(hinted, ["doc_id", "text"], max_train).select(key, "text").mapInArrow(run, "kind int, key long, value array<int>")
     rows = materialize(rows, "pii-tokens")
-    if rows.isEmpty():
-        raise RuntimeError("no document was picked to learn from")
     counts = rows.where("kind > 0").groupBy("kind", "value").count().collect()
-    tokens = rows.where("kind = 0")
-    own = sorted(r["value"] for r in tokens.where(picked("key", tokens.count(), max_tokens)).collect())
+    tokens = rows.where("kind = 0").select("key", "value").distinct()  # copies of a document have its keys
+    own = sorted(r["value"] for r in picked(tokens, ["key"], max_tokens).collect())
     pairs = [{tuple(r["value"]): r["count"] for r in counts if r["kind"] == k} for k in (1, 2, 3)]
     return _learn([v[1:] for v in own], np.array([v[0] for v in own], int), pairs)
 

@@ -113,14 +113,14 @@ def _all(conditions) -> Column:
 
 
 def _counts(rows: DataFrame, grid: dict[str, list[float]]) -> dict:
-    """For each condition of the grid: covered junk and covered good rows. One aggregation: rows are counted by feature and interval, then summed up."""
+    """For each condition of the grid: covered junk and good labels. One aggregation: rows are counted by feature and interval, then summed up."""
     bins = []
     for f, cuts in grid.items():
         place = F.lit(0)
         for cut in cuts:
             place = place + (F.expr(FEATURES[f]) > cut).cast("int")
         bins.append(F.struct(F.lit(f).alias("feature"), place.alias("bin")))
-    table = rows.select("junk", F.explode(F.array(*bins)).alias("b")).groupBy("b.feature", "b.bin").agg(F.sum("junk").alias("bad"), F.count("*").alias("n")).collect()
+    table = rows.select("junk", "n", F.explode(F.array(*bins)).alias("b")).groupBy("b.feature", "b.bin").agg(F.sum("junk").alias("bad"), F.sum("n").alias("n")).collect()
     out = {}
     for f, cuts in grid.items():
         own = {r["bin"]: (r["bad"], r["n"] - r["bad"]) for r in table if r["feature"] == f}
@@ -138,17 +138,13 @@ def _value(junk: int, good: int) -> float:
 def learn(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[Condition, ...]]:
     """The ordered rules for junk. labels: doc_id, quality (0: junk). Learned from at most about max_train rows that pass the base rule, picked by the hash of doc_id."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.col("quality") == 0).cast("int").alias("junk"))
-    n = known.count()
-    if n > max_train:
-        known = known.where(picked("doc_id", n, max_train))
-        if known.isEmpty():
-            raise RuntimeError("no label was picked to learn from")
+    known = picked(known, ["doc_id"], max_train).groupBy("doc_id").agg(F.sum("junk").alias("junk"), F.count("*").alias("n"))
     usable = stats.where("n_words > 0 AND n_lines > 0").where(~base_failed())
     rows = usable.join(known, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)))
     rows = materialize(rows, "quality-labelled")
     grid = {}
     shares = [(i + 0.5) / CUTS for i in range(CUTS)]
-    found = rows.agg(*[F.percentile(F.expr(e), shares).alias(f) for f, e in FEATURES.items()]).first()
+    found = rows.agg(*[F.percentile(F.expr(e), shares, F.col("n")).alias(f) for f, e in FEATURES.items()]).first()
     for f in FEATURES:
         grid[f] = sorted(set(found[f] or []))
     total = rows.agg(F.sum("junk")).first()[0] or 0
@@ -172,7 +168,7 @@ def learn(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> li
                 break
         if not rule:
             break
-        held = check.agg(*[F.struct(F.sum(F.when(_all(rule[:k]), F.col("junk")).otherwise(0)).alias("bad"), F.sum(F.when(_all(rule[:k]), 1 - F.col("junk")).otherwise(0)).alias("good")).alias(f"k{k}") for k in range(1, len(rule) + 1)]).first()
+        held = check.agg(*[F.struct(F.sum(F.when(_all(rule[:k]), F.col("junk")).otherwise(0)).alias("bad"), F.sum(F.when(_all(rule[:k]), F.col("n") - F.col("junk")).otherwise(0)).alias("good")).alias(f"k{k}") for k in range(1, len(rule) + 1)]).first()
         worth = {k: (held[f"k{k}"]["bad"] or 0, held[f"k{k}"]["good"] or 0) for k in range(1, len(rule) + 1)}
         k = max(worth, key=lambda k: (_value(*worth[k]), -k))
         bad, good = worth[k]
@@ -185,8 +181,8 @@ def learn(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> li
 
 def _centred(rows: DataFrame, rule: list[Condition]) -> tuple[Condition, ...]:
     """The rule with each threshold moved half-way to the values of nearly all junk it covers, so that it doesn't touch the clean side."""
-    shares = [F.percentile(F.expr(FEATURES[c.feature]), 0.05 if c.above else 0.95).alias(f"c{i}") for i, c in enumerate(rule)]
-    edge = rows.where(_all(rule) & (F.col("junk") == 1)).agg(*shares).first()
+    shares = [F.percentile(F.expr(FEATURES[c.feature]), 0.05 if c.above else 0.95, F.col("junk")).alias(f"c{i}") for i, c in enumerate(rule)]
+    edge = rows.where(_all(rule) & (F.col("junk") > 0)).agg(*shares).first()
     return tuple(Condition(c.feature, c.above, (c.cut + edge[i]) / 2 if edge[i] is not None else c.cut) for i, c in enumerate(rule))
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.llm import common, langid, neardup, pii
+from corpuscope.llm import common, langid, neardup, pii, quality
 
 from .conftest import documents
 
@@ -10,9 +10,9 @@ from .conftest import documents
 def test_a_sample_never_falls_to_nothing(spark, n):
     """Keys whose hashes are spread evenly: the share that is picked follows n, also where n is far larger than any table here."""
     share = min(1.0, 3000 / n)
-    keys = spark.range(200_000)
-    got = keys.where(common.picked("id", n, 3000)).count() / 200_000
+    got = spark.range(200_000).where(common.place_of("id") < common.share_of(n, 3000)).count() / 200_000
     assert got == pytest.approx(share, rel=0.1) if share > 0.001 else got <= 0.01
+    assert common.share_of(n, 3000) > 0 and common.share_of(n, 3000, 5) > 5
     assert langid.shares({"a": n}, 3000)["a"] == pytest.approx(share * 2**62, rel=1e-6)
     assert langid.shares({"a": n}, 3000)["a"] > 0
 
@@ -23,6 +23,18 @@ def test_rare_languages_are_learned_in_full():
     assert [round(got[k] / 2**62 * n) for k, n in (("en", 10**9), ("de", 10**6))] == pytest.approx([1497, 1496], abs=2)
 
 
+def test_copies_of_one_row_are_learned_from(spark, prose):
+    """Whichever share their hash stands above, some are picked; also where all rows are copies."""
+    for i in range(4):
+        docs = documents(spark, [f"{prose(9, i)} a{i}@b.cd 12 of 3"] * 30, doc_id=[i] * 30)
+        assert langid.fit(docs, max_train=2) is not None
+        assert pii.fit(docs, max_train=2) is not None
+        assert common.picked(docs, ["doc_id"], 2).count() == 30
+        labels = spark.createDataFrame([(i, 0, 0)] * 30, "doc_id long, quality int, toxic int")
+        assert quality.judge(docs, labels).count() == 30
+    assert common.picked(documents(spark, []), ["doc_id"], 2).count() == 0
+
+
 def test_field_learns_from_some_tokens_of_every_document(spark, prose):
     texts = [f"{prose(20, i)} x{i}@mail.example.com {prose(9, i)} 12 of {i}" for i in range(60)] + [" ".join(map(str, range(5000)))]
     docs = documents(spark, texts, doc_id=[None] * 30 + list(range(31)))
