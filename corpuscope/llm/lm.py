@@ -11,10 +11,12 @@ document is left out of its counts, else no bigram of the corpus would ever be u
 
 1. Blocks of documents are written as packed rows: their words, their distinct bigrams, and which
    document holds which bigram how often. A block bounds what a worker holds, and counts its n-grams before any shuffle.
-2. Each block is exploded to rows (gram, block, place, n), with gram the 64-bit hash of a word or bigram.
+2. Each block's n-grams, known by 64-bit hashes of words and bigrams, travel sorted and in arrays, a row for each
+   bucket of the hash, and are exploded where they arrive to rows (bucket, gram, block, place, n).
    Summed by gram they are the count table, which grows with the corpus and is partitioned by hash.
-3. The count table is joined to the exploded n-grams, so that each block gets the totals of its n-grams, by
-   place. An n-gram of all documents has one row a block, however often it occurs.
+3. The count table is joined to the exploded n-grams, on the partitioning that both have already, so that each block gets the
+   totals of its n-grams, by place. An n-gram of all documents has one row a block, however often it occurs; one that
+   stands in no other block needs none.
 4. Each block meets its totals, and its documents' scores are summed up.
 
 Spark does the aggregation, the join and all shuffles. Two of 10^11 n-grams that share a hash are expected at about 270 pairs, whose
@@ -26,18 +28,20 @@ a row each, and count as documents of their own. Extra columns are passed over.
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import materialize, release, small_batches
 from corpuscope.llm.neardup import _MUL, _U64, _arrow, _mix, word_hashes
 
 BACKOFF = 0.4
-#: Documents and words in a block, at most (but one document may be longer); n-grams in an Arrow batch.
-BLOCK_DOCS, BLOCK_WORDS, SENT = 1 << 14, 1 << 20, 1 << 16
+#: Documents and words in a block, at most (but one document may be longer); buckets for each shuffle partition, so that partitions get even parts.
+BLOCK_DOCS, BLOCK_WORDS, BUCKETS = 1 << 14, 1 << 20, 8
 #: Stands before the first word of a document.
 _BEGIN = _U64(0x1D8AF066F3A1B2C5)
 
@@ -112,22 +116,31 @@ class _Block:
         self.pair = run - np.repeat(np.where(first > 0, run[np.maximum(first, 1) - 1], 0) if len(run) else first, self.entries)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words, then of all bigrams, and how often each occurs in the block."""
+        """Hashes of all words, then of all bigrams, how often each occurs in the block, and their places in the order of the hashes."""
         bigrams = _mix(self.words[self.before] * _MUL[0] + self.words[self.word] * _MUL[1] + _MUL[2])
-        return np.concatenate([self.words, bigrams]), np.concatenate([self.often, np.bincount(self.pair, self.count, len(self.word)).astype(np.int64)])
+        grams = np.concatenate([self.words, bigrams])
+        return grams, np.concatenate([self.often, np.bincount(self.pair, self.count, len(self.word)).astype(np.int64)]), np.argsort(grams, kind="stable")
 
 
-_GRAM = "gram long, block long, place int, n int"
+_GRAMS = "bucket int, origin struct<block:bigint,first:int>, grams array<bigint>, often array<int>"
 
 
-def _explode(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            grams, n = _Block(row).grams()
-            for at in range(0, len(grams), SENT):
-                some = grams[at : at + SENT].view(np.int64)
-                columns = (some, np.full(len(some), row["block"]), np.arange(at, at + len(some), dtype=np.int32), n[at : at + SENT].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "place", "n"])
+def _sent(n_buckets: int):
+    """The n-grams of each block by bucket: those from place first of the block on, in the order of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams, often, order = _Block(row).grams()
+                grams, often = grams[order], often[order].astype(np.int32)
+                bucket = ((grams >> _U64(32)) * _U64(n_buckets) >> _U64(32)).astype(np.int32)
+                found, first = np.unique(bucket, return_index=True)
+                ends = pa.array(np.append(first, len(grams)), pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (grams.view(np.int64), often)]
+                origin = pa.StructArray.from_arrays([pa.array(np.full(len(found), row["block"])), pa.array(first.astype(np.int32))], ["block", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), origin, *arrays], ["bucket", "origin", "grams", "often"])
+
+    return run
 
 
 def _own(doc: np.ndarray, wanted: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -147,10 +160,9 @@ def _score(total: int, backoff: float):
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         b = _Block(row)
-        if totals.num_rows != len(b.words) + len(b.word):
-            raise RuntimeError("a block's totals don't match its n-grams")
-        counts = np.empty(totals.num_rows)
-        counts[totals.column("place").to_numpy()] = totals.column("total").to_numpy()
+        _, often, order = b.grams()
+        counts = often.astype(float)
+        counts[order[totals.column("place").to_numpy()]] = totals.column("total").to_numpy()
         n_words = len(b.words)
         before, word = b.before[b.pair], b.word[b.pair]
         pairs = counts[n_words + b.pair] - b.count
@@ -166,15 +178,32 @@ def _score(total: int, backoff: float):
     return run
 
 
+@contextlib.contextmanager
+def _co_located(spark: SparkSession):
+    """Joins on (bucket, gram) take sides that are partitioned by bucket as they are, and both sides read one exchange."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of ln S), mean (score for each word): a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     blocks = materialize(docs.select("doc_id", "text").mapInArrow(_blocks, _BLOCK), "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    grams = blocks.select(*[f.split()[0] for f in _BLOCK.split(", ")]).mapInArrow(_explode, _GRAM)
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"))
-    totals = materialize(grams.join(counts, "gram").select("block", "place", "total"), "lm-totals")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    packed = blocks.select(*[f.split()[0] for f in _BLOCK.split(", ")]).mapInArrow(_sent(BUCKETS * parts), _GRAMS)
+    each = packed.repartition(parts, "bucket").select("*", F.posexplode("grams").alias("at", "gram"))
+    grams = each.select("bucket", "gram", "origin", "at", F.get("often", F.col("at")).alias("n"))
+    counts = grams.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.count("origin").alias("blocks")).where("blocks > 1")
+    totals = grams.join(counts, ["bucket", "gram"]).where("total > n").select("origin.block", (F.col("origin.first") + F.col("at")).alias("place"), "total")
+    with _co_located(spark):
+        totals = materialize(totals, "lm-totals")
     release(spark)
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(total, backoff), _SCORE)
     return scored.withColumn("mean", F.try_divide("score", "n_words"))
