@@ -194,3 +194,14 @@ def test_repl(spark, capsys):
     repl(spark, models.AlwaysSlow(), ["setup", "set vote 0.5", "set lang en", '[word="x"]', "[", "exit", "never"])
     out = capsys.readouterr().out.splitlines()
     assert out[0] == "corpussize: 6400000000, vote: 0.85, lang: cs" and out[1].startswith("slow") and len(out) == 3
+
+
+def test_reports_are_in_order(spark):
+    log = spark.createDataFrame([(c, 0.0) for c in ["b", "a", "a", "c", "c", "d"]] + [("a", 1.0)], "corpus string, timeProc double")
+    assert [tuple(r) for r in normalize.zero_by_corpus(log).collect()] == [("a", 2), ("c", 2), ("b", 1), ("d", 1)]
+    corpora = spark.createDataFrame([("x", 2 * 10**8, "", ""), ("small", 10**8, "", ""), ("y", 3 * 10**8, "", ""), ("a", 2 * 10**8, "", "")], schemas.CORPORA)
+    assert [r.corpus for r in dataset.large_corpora(corpora).collect()] == ["y", "a", "x"]
+    rows = spark.createDataFrame([("once", 0.505, 200.0), ("often", 0.9, 1.0), ("some", 0.7, 1.0)], "key string, score double, procTime double")
+    report = evaluation.report_order(evaluation.misclassified(rows, "key", "score", "procTime", 100.0, 100.0)).collect()
+    assert [r.key for r in report] == sorted((r.key for r in report), key=lambda k: next((-r.num_repeat, -r.error_size) for r in report if r.key == k))
+    assert len({r.num_repeat for r in report}) == 3
