@@ -246,7 +246,7 @@ def _sort_blocks(batches):
         yield flush(held)
 
 
-def _keyed(docs: DataFrame) -> list[F.Column]:
+def _keyed() -> list[F.Column]:
     return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("row2"), "text", "doc_id").alias("row2")]
 
 
@@ -257,7 +257,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """row, row2 (hashes of doc_id and text), from, to: bytes covered by repeated strings; spans may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(*_keyed(docs), "text").where(F.octet_length("text") >= LENGTH)
+    keyed = docs.select(*_keyed(), "text").where(F.octet_length("text") >= LENGTH)
     pieces = materialize(keyed.mapInArrow(_pieces, _PIECE), "substrings-pieces")
     often = materialize(pieces.groupBy("anchor").count().where("count > 1").select("anchor"), "substrings-anchors")
     met = materialize(pieces.join(often, "anchor", "left_semi"), "substrings-met")
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (disjoint ascending spans of bytes), kept_sha256, kept (the bytes that stay): a row for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeats(docs).groupBy("row", "row2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    joined = docs.select(*_keyed(docs), "doc_id", "text").join(spans, ["row", "row2"], "left").select("doc_id", "text", "spans")
+    joined = docs.select(*_keyed(), "doc_id", "text").join(spans, ["row", "row2"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
