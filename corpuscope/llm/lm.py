@@ -17,7 +17,7 @@ document is left out of its counts, else no bigram of the corpus would ever be u
 3. The count table is joined to the exploded n-grams, on the partitioning that both have already, so that each block gets the
    totals of its n-grams, by place. An n-gram of all documents has one row a block, however often it occurs; one that
    stands in no other block needs none.
-4. Each block meets its totals, and its documents' scores are summed up.
+4. The totals are packed by block. Each block meets its own, and its documents' scores are summed up.
 
 Spark does the aggregation, the join and all shuffles. Two of 10^11 n-grams that share a hash are expected at about 270 pairs, whose
 counts then add up.
@@ -42,6 +42,8 @@ from corpuscope.llm.neardup import _MUL, _U64, _arrow, _mix, word_hashes
 BACKOFF = 0.4
 #: Documents and words in a block, at most (but one document may be longer); buckets for each shuffle partition, so that partitions get even parts.
 BLOCK_DOCS, BLOCK_WORDS, BUCKETS = 1 << 14, 1 << 20, 8
+#: Totals that are packed at once.
+HELD = 1 << 20
 #: Stands before the first word of a document.
 _BEGIN = _U64(0x1D8AF066F3A1B2C5)
 
@@ -122,7 +124,21 @@ class _Block:
         return grams, np.concatenate([self.often, np.bincount(self.pair, self.count, len(self.word)).astype(np.int64)]), np.argsort(grams, kind="stable")
 
 
-_GRAMS = "bucket int, origin struct<block:bigint,first:int>, grams array<bigint>, often array<int>"
+_GRAMS = "bucket int, origin struct<block:bigint,first:int>, grams array<bigint>, often array<tinyint>"
+#: A count that one entry carries, at most; an n-gram that occurs more often in a block has several entries.
+_MOST = 127
+
+
+def _entries(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's n-grams in the order of their hashes as entries (hash, count up to _MOST), and which of grams() each is."""
+    grams, often, order = b.grams()
+    often = often[order]
+    times = -(-often // _MOST)
+    last = np.cumsum(times) - 1
+    counts = np.full(int(times.sum()), _MOST, np.int8)
+    counts[last] = often - (times - 1) * _MOST
+    order = np.repeat(order, times)
+    return grams[order], counts, order
 
 
 def _sent(n_buckets: int):
@@ -131,8 +147,7 @@ def _sent(n_buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                grams, often, order = _Block(row).grams()
-                grams, often = grams[order], often[order].astype(np.int32)
+                grams, often = _entries(_Block(row))[:2]
                 bucket = ((grams >> _U64(32)) * _U64(n_buckets) >> _U64(32)).astype(np.int32)
                 found, first = np.unique(bucket, return_index=True)
                 ends = pa.array(np.append(first, len(grams)), pa.int32())
@@ -143,6 +158,32 @@ def _sent(n_buckets: int):
     return run
 
 
+_TOTALS = "block long, first int, at binary, total binary"
+
+
+def _by_block(batches):
+    """Rows (bucket, block, first, at, total), a bucket's rows together, packed by block: places and totals."""
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, first, at, total = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 3, 4))
+        order = np.lexsort((at, first, block))
+        block, first, at, total = block[order], first[order], at[order], total[order]
+        edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (first[1:] != first[:-1]))).tolist() + [len(block)]
+        return _arrow([(int(block[a]), int(first[a]), _pack(np.diff(at[a:b], prepend=0), "<u4"), _pack(total[a:b], "<u8")) for a, b in zip(edges, edges[1:])], _TOTALS)
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD:
+            yield packed(held)
+            held, size = [], 0
+    if held:
+        yield packed(held)
+
+
 def _own(doc: np.ndarray, wanted: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """How often each entry's wanted word occurs in its own document; the begin mark, which follows no word, once."""
     key, inverse = np.unique(doc * n + word, return_inverse=True)
@@ -160,9 +201,9 @@ def _score(total: int, backoff: float):
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         b = _Block(row)
-        _, often, order = b.grams()
-        counts = often.astype(float)
-        counts[order[totals.column("place").to_numpy()]] = totals.column("total").to_numpy()
+        counts, order = b.grams()[1].astype(float), _entries(b)[2]
+        for r in totals.to_pylist():
+            counts[order[r["first"] + np.cumsum(_unpack(r["at"], "<u4").astype(np.int64))]] = _unpack(r["total"], "<u8")
         n_words = len(b.words)
         before, word = b.before[b.pair], b.word[b.pair]
         pairs = counts[n_words + b.pair] - b.count
@@ -180,14 +221,16 @@ def _score(total: int, backoff: float):
 
 @contextlib.contextmanager
 def _co_located(spark: SparkSession):
-    """Joins on (bucket, gram) take sides that are partitioned by bucket as they are, and both sides read one exchange."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """Joins on (bucket, gram) take sides that are partitioned by bucket as they are, and both sides read one exchange. Batches of their short rows are bounded by bytes alone."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(1 << 18)}
+    before = {key: spark.conf.get(key) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
@@ -201,9 +244,10 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     each = packed.repartition(parts, "bucket").select("*", F.posexplode("grams").alias("at", "gram"))
     grams = each.select("bucket", "gram", "origin", "at", F.get("often", F.col("at")).alias("n"))
     counts = grams.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.count("origin").alias("blocks")).where("blocks > 1")
-    totals = grams.join(counts, ["bucket", "gram"]).where("total > n").select("origin.block", (F.col("origin.first") + F.col("at")).alias("place"), "total")
+    totals = grams.join(counts, ["bucket", "gram"]).where("total > n").select("bucket", "origin.block", "origin.first", "at", "total")
     with _co_located(spark):
-        totals = materialize(totals, "lm-totals")
+        totals = materialize(totals.mapInArrow(_by_block, _TOTALS), "lm-totals")
+    del packed, each, grams, counts
     release(spark)
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(total, backoff), _SCORE)
     return scored.withColumn("mean", F.try_divide("score", "n_words"))

@@ -47,3 +47,15 @@ def documents_text():
     from pyspark.sql import functions as F
 
     return F.lit("clash")
+
+
+def test_counts_above_one_entry_and_small_blocks(spark, prose, monkeypatch):
+    """Words that occur hundreds of times in a block need several entries; many blocks of one document give the same scores as one."""
+    texts = ["w " * 700 + "x", "w x " * 300, "w x y", prose(30, 1), prose(30, 1)]
+    expected = brute(texts)
+    for size in (1 << 14, 1):
+        monkeypatch.setattr(lm, "BLOCK_DOCS", size)
+        monkeypatch.setattr(lm, "HELD", 100)
+        got = {r.doc_id: (r.n_words, r.score) for r in lm.score(documents(spark, texts)).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
+        assert all(got[k][1] == pytest.approx(expected[k][1], abs=1e-6) for k in got)
