@@ -3,8 +3,8 @@
 1. Each document becomes a bag of shingles of five words. The shingles' hashes travel, packed by blocks
    of documents, to the bucket of their leading bits, where the document frequency of each is counted,
    and back to their block. Only shingles that two documents share come back; of the others a
-   document needs the total weight alone. There are as many buckets as the bytes of all texts ask for, so
-   one bucket and one block are all that a worker holds, at every size of the input.
+   document needs the total weight alone. There are as many buckets as the bytes of all texts ask for:
+   one bucket or one block is all that a worker holds, and both grow with the square root of the input, from about 100 GB on.
 2. Weight: term frequency times 1 + ln(1 + N/df) / ln(1 + N), from 2 for a shingle of one document to
    little over 1 for one of all. A document whose shared shingles weigh less than the threshold's
    part of its whole weight can't be similar enough to any other, and goes no further.
@@ -28,6 +28,7 @@ doesn't, the work ends with an error and not with wrong counts.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from corpuscope.llm.common import materialize, new_name, release, small_batches
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 #: Documents and shingles in a block, at most (but one document may be longer); comparisons dealt to one task by one first node.
 BLOCK_DOCS, BLOCK_SHINGLES, PER_SALT = 4096, 1 << 20, 500
-#: Bytes of text whose shingles meet in one bucket, on average.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text whose shingles meet in one bucket, on average; shingles that a block sends to a bucket, at least, on average.
+BUCKET_BYTES, PER_ROW = 4 << 20, 64
 #: Nodes of a key, and bytes of their hashes, in a block of those compared among themselves, on average.
 SIDE, SIDE_BYTES = 500, 1 << 24
 _CHUNK = 1 << 20
@@ -108,7 +109,12 @@ def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def _blocks(n_buckets: int):
+def growth(n_bytes: int) -> float:
+    """By how much blocks and buckets exceed their least sizes. Rows of a block and a bucket get shorter as buckets get more, so from about 100 GB on both grow with the square root of the input: some 30 times at 100 TB, or about 1.5 GB in a worker."""
+    return max(1.0, math.sqrt(PER_ROW * n_bytes / 6) / BLOCK_SHINGLES)
+
+
+def _blocks(n_buckets: int, grown: float = 1.0):
     """Packs documents (doc_id, digest, text) into blocks, a row for each bucket that a block has shingles of; the first of them has the documents."""
 
     def pack(place: str, ids: list, digests: list, bags: list):
@@ -143,7 +149,7 @@ def _blocks(n_buckets: int):
                 digests.append(digest.as_py() or bytes(16))
                 bags.append(bag)
                 held += len(bag[0])
-                if held >= BLOCK_SHINGLES or len(bags) >= BLOCK_DOCS:
+                if held >= BLOCK_SHINGLES * grown or len(bags) >= min(BLOCK_DOCS * grown, 1 << 16):
                     yield pack(place(), ids, digests, bags)
                     number, ids, digests, bags, held = number + 1, [], [], [], 0
         if bags:
@@ -282,7 +288,7 @@ def bags(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     small_batches(spark)
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sent = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_blocks(max(parts, n_bytes // BUCKET_BYTES + 1)), _OUT)
+    sent = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_blocks(max(parts, int(n_bytes / BUCKET_BYTES / growth(n_bytes)) + 1), growth(n_bytes)), _OUT)
     counted = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(_count_frequencies, _BACK)
     out = counted.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_bags(n_docs, threshold), _BAG)
     out = materialize(out, "neardup-bags")

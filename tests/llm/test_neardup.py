@@ -139,3 +139,12 @@ def test_pairs_of_a_key_without_its_first_node_are_verified(spark, prose, monkey
     monkeypatch.setattr(neardup, "SIDE", side, raising=False)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
     assert got == dict(enumerate(roots))
+
+
+def test_blocks_and_buckets_grow_with_the_root_of_the_input():
+    assert neardup.growth(0) == neardup.growth(30 * 10**9) == 1.0
+    for n in (10**12, 10**14, 10**16):
+        grown = neardup.growth(n)
+        buckets = n / (neardup.BUCKET_BYTES * grown)
+        assert neardup.BLOCK_SHINGLES * grown / buckets >= neardup.PER_ROW / 2  # shingles of a row
+    assert neardup.growth(10**14) == pytest.approx(31, abs=1)
