@@ -19,8 +19,8 @@ document is left out of its counts, else no bigram of the corpus would ever be u
    stands in no other block needs none.
 4. The totals are packed by block. Each block meets its own, and its documents' scores are summed up.
 
-Spark does the aggregation, the join and all shuffles. Two of 10^11 n-grams that share a hash are expected at about 270 pairs, whose
-counts then add up.
+Spark does the aggregation, the join and all shuffles. N-grams that share a bucket and the 48 bits of a hash beside it add up their counts: about one
+pair among 20 million n-grams of one bucket, and so a share of n-grams that no score shows.
 
 Defined results: null text and text without words have n_words 0, score 0 and a null mean. Repeated rows give
 a row each, and count as documents of their own. Extra columns are passed over.
@@ -41,9 +41,9 @@ from corpuscope.llm.neardup import _MUL, _U64, _arrow, _mix, word_hashes
 
 BACKOFF = 0.4
 #: Documents and words in a block, at most (but one document may be longer); buckets for each shuffle partition, so that partitions get even parts.
-BLOCK_DOCS, BLOCK_WORDS, BUCKETS = 1 << 14, 1 << 20, 8
+BLOCK_DOCS, BLOCK_WORDS, BUCKETS = 1 << 14, 1 << 19, 8
 #: Totals that are packed at once.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Stands before the first word of a document.
 _BEGIN = _U64(0x1D8AF066F3A1B2C5)
 
@@ -124,7 +124,8 @@ class _Block:
         return grams, np.concatenate([self.often, np.bincount(self.pair, self.count, len(self.word)).astype(np.int64)]), np.argsort(grams, kind="stable")
 
 
-_GRAMS = "bucket int, origin struct<block:bigint,first:int>, grams array<bigint>, often array<tinyint>"
+#: An n-gram travels as the low 48 bits of its hash beside its bucket, which tells the high ones as far as it is one of many.
+_GRAMS = "bucket int, origin struct<block:bigint,first:int>, low array<int>, high array<smallint>, often array<tinyint>"
 #: A count that one entry carries, at most; an n-gram that occurs more often in a block has several entries.
 _MOST = 127
 
@@ -151,9 +152,10 @@ def _sent(n_buckets: int):
                 bucket = ((grams >> _U64(32)) * _U64(n_buckets) >> _U64(32)).astype(np.int32)
                 found, first = np.unique(bucket, return_index=True)
                 ends = pa.array(np.append(first, len(grams)), pa.int32())
-                arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (grams.view(np.int64), often)]
+                low, high = grams.astype(np.uint32).view(np.int32), (grams >> _U64(32)).astype(np.uint16).view(np.int16)
+                arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (low, high, often)]
                 origin = pa.StructArray.from_arrays([pa.array(np.full(len(found), row["block"])), pa.array(first.astype(np.int32))], ["block", "first"])
-                yield pa.RecordBatch.from_arrays([pa.array(found), origin, *arrays], ["bucket", "origin", "grams", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), origin, *arrays], ["bucket", "origin", "low", "high", "often"])
 
     return run
 
@@ -241,8 +243,9 @@ def score(docs: DataFrame, backoff: float = BACKOFF) -> DataFrame:
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = blocks.select(*[f.split()[0] for f in _BLOCK.split(", ")]).mapInArrow(_sent(BUCKETS * parts), _GRAMS)
-    each = packed.repartition(parts, "bucket").select("*", F.posexplode("grams").alias("at", "gram"))
-    grams = each.select("bucket", "gram", "origin", "at", F.get("often", F.col("at")).alias("n"))
+    each = packed.repartition(parts, "bucket").select("*", F.posexplode("low").alias("at", "part"))
+    gram = F.shiftleft(F.get("high", F.col("at")).cast("long"), 32) + F.col("part")  # a sum, as the low part may be negative: another number for each pair
+    grams = each.select("bucket", gram.alias("gram"), "origin", "at", F.get("often", F.col("at")).alias("n"))
     counts = grams.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.count("origin").alias("blocks")).where("blocks > 1")
     totals = grams.join(counts, ["bucket", "gram"]).where("total > n").select("bucket", "origin.block", "origin.first", "at", "total")
     with _co_located(spark):
